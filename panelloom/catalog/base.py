@@ -146,3 +146,27 @@ def spread_sql(prefix: str, top, bottom, keys: str = "") -> str:
 {prefix}spread AS (
   SELECT {k}month, cumulative_return_diff, annual_return_diff, std_diff,
          annual_return_diff / nullif(std_diff, 0) AS "IR" FROM {prefix}risk)"""
+
+
+def ridge_sql(source: str, target: str, y: str, alpha, group: str = "", intercept: bool = True,
+              x=("x1", "x2")) -> str:
+    """CTEs for a two-feature ridge per ``group``; ``target`` has intercept, b1 and b2."""
+    a, b = x
+    g = f"{group}, " if group else ""
+    by = f" GROUP BY {group}" if group else ""
+    if intercept:
+        s11, s22, s12 = "s11 - s1 * s1 / n", "s22 - s2 * s2 / n", "s12 - s1 * s2 / n"
+        t1, t2 = "t1 - s1 * sy / n", "t2 - s2 * sy / n"
+        c = "sy / n - b1 * s1 / n - b2 * s2 / n"
+    else:
+        s11, s22, s12, t1, t2, c = "s11", "s22", "s12", "t1", "t2", "0"
+    return f"""{target}_sums AS (
+  SELECT {g}CAST(count(*) AS DOUBLE) AS n, sum({y}) AS sy, sum({a}) AS s1, sum({b}) AS s2,
+    sum({a} * {a}) AS s11, sum({b} * {b}) AS s22, sum({a} * {b}) AS s12, sum({a} * {y}) AS t1,
+    sum({b} * {y}) AS t2
+  FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND {y} IS NOT NULL{by}),
+{target}_mid AS (SELECT *, {s11} + {alpha} AS m11, {s22} + {alpha} AS m22, {s12} AS m12, {t1} AS r1, {t2} AS r2
+  FROM {target}_sums),
+{target}_coef AS (SELECT *, (r1 * m22 - r2 * m12) / (m11 * m22 - m12 * m12) AS b1,
+  (r2 * m11 - r1 * m12) / (m11 * m22 - m12 * m12) AS b2 FROM {target}_mid),
+{target} AS (SELECT {g}n, {c} AS intercept, b1, b2 FROM {target}_coef)"""

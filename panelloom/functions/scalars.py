@@ -52,8 +52,8 @@ def gradients(objective: str, y: Column, pred: Column) -> tuple[Column, Column]:
 
 def argmax_label(scores: Column, labels: Sequence) -> Column:
     """Label of the largest entry of an array of class scores; first one on ties."""
-    at = F.array_position(scores, F.array_max(scores)).cast("int")
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), at)
+    at = F.array_position(scores, F.array_max(scores)).cast("int") - 1
+    return F.get(F.array(*[F.lit(x) for x in labels]), at)
 
 
 def params_label(params: Column) -> Column:

@@ -21,7 +21,8 @@ def named(bin_: Column, names: Sequence | None) -> Column:
     """Translate a 0-based bin into the caller's class name."""
     if names is None:
         return bin_
-    return F.element_at(F.array(*[F.lit(n) for n in names]), bin_ + 1)
+    # get() rather than element_at(): a missing bin must give a missing name.
+    return F.get(F.array(*[F.lit(n) for n in names]), bin_)
 
 
 def _whole_part(a: Column, b: Column | int) -> Column:
