@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array  # noqa: F401
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LOSSES, gradients
@@ -225,18 +224,19 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     train, test = sides(spark, sf_dir)
-    model = learners.linear_regression(X, "fq_ret", alpha=5.0, n_rows=train.count())
+    size = train.agg(F.count("fq_ret"), F.stddev_pop("fq_ret")).first()
+    model = learners.linear_regression(X, "fq_ret", alpha=5.0, n_rows=size[0], label_std=size[1])
     return both(*learners.predict(model, train, test, [*KEY, *X, "fm_ret"]))
 
 
 WALK_SQL = f"""m AS (SELECT DISTINCT month FROM panel WHERE month BETWEEN DATE '{BEGIN}' AND DATE '{END}'),
-grown AS (SELECT m.month AS at, p.* FROM m JOIN panel p ON p.month < m.month),
-{ridge_sql('grown', 'fit', 'fq_ret', 1.0, 'at')}"""
+grown AS (SELECT m.month AS at_month, p.* FROM m JOIN panel p ON p.month < m.month),
+{ridge_sql('grown', 'fit', 'fq_ret', 1.0, 'at_month')}"""
 
 
 @ENTRIES.add(
     "m14_walk_forward",
-    f"""WITH {SUPPLIERS_SQL}, {WALK_SQL} SELECT month, sec, {PRED_SQL} AS pred FROM panel JOIN fit ON fit.at = month""",
+    f"""WITH {SUPPLIERS_SQL}, {WALK_SQL} SELECT month, sec, {PRED_SQL} AS pred FROM panel JOIN fit ON fit.at_month = month""",
     ["pred"],
 )
 def _(spark, sf_dir):

@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -102,22 +103,22 @@ def _each(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(pd.isna(v) for v in r) else fn(*r) for r in rows], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _each(f_tail, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_tail, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def range_pvalue(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return _each(lambda a, b, c: studentized_range_tail(a, int(b), c), q, k, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def range_critical(alpha: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     # Studies share few (groups, degrees of freedom) pairs: solve each once.
     known: dict = {}

@@ -32,10 +32,17 @@ def _finish(drop: Sequence[str] = ("_features",)) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT * EXCEPT ({gone}) FROM __THIS__")
 
 
-def linear_regression(features, label, alpha=0.0, n_rows=1, fit_intercept=True) -> Pipeline:
-    """Ridge with an absolute penalty ``alpha`` on ``n_rows`` training rows."""
+def linear_regression(
+    features, label, alpha=0.0, n_rows=1, label_std=1.0, fit_intercept=True
+) -> Pipeline:
+    """Ridge with an absolute penalty ``alpha``.
+
+    Spark penalises per row and in units of the label's deviation, so both are needed
+    to state the same penalty.
+    """
     model = LinearRegression(
-        featuresCol="_features", labelCol=label, predictionCol="pred", regParam=alpha / n_rows,
+        featuresCol="_features", labelCol=label, predictionCol="pred",
+        regParam=alpha * label_std / n_rows,
         standardization=False, fitIntercept=fit_intercept, solver="normal",
     )
     return Pipeline(stages=[_assemble(features), model, _finish()])

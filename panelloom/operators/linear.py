@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import attach
@@ -46,7 +47,7 @@ def add_moments(stats: DataFrame, by: Sequence[str], p: int) -> DataFrame:
     return stats.groupBy(*by).agg(*[F.sum(c).alias(c) for c in moment_names(p)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(matrix: pd.Series, right: pd.Series) -> pd.Series:
     """Solve one small system per row (rows are fitted models, not data)."""
 
