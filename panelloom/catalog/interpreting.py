@@ -98,9 +98,9 @@ def _(spark, sf_dir):
 
 @ENTRIES.add(
     "i6_cross_validation_boxes",
-    f"""WITH {CV_SQL}, q AS (SELECT model_id, metric, quantile_cont(value, 0.25) AS q1, median(value) AS q2,
+    f"""WITH {CV_SQL}, box AS (SELECT model_id, metric, quantile_cont(value, 0.25) AS q1, median(value) AS q2,
       quantile_cont(value, 0.75) AS q3 FROM cv WHERE partition = 'val' GROUP BY ALL)
-    SELECT * FROM q""",
+    SELECT * FROM box""",
     ["q1", "q2", "q3"], digits=6,
 )
 def _(spark, sf_dir):

@@ -29,8 +29,7 @@ def scores(spark, sf_dir):
 @ENTRIES.add(
     "h1_anova",
     f"""WITH {SCORES_SQL} SELECT sector, CAST(k - 1 AS BIGINT) AS df_between, CAST(df AS BIGINT) AS df_within,
-    (ssb / (k - 1)) / (ssw / df) AS f_stat FROM a""",
-    ["f_stat"], digits=5,
+    round((ssb / (k - 1)) / (ssw / df), 6) AS f_stat FROM a""",
 )
 def _(spark, sf_dir):
     return selection.anova(scores(spark, sf_dir), ["sector"]).drop("p_value")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..session import attach, attach_side, hold, release, settle, side
+from ..session import attach, attach_side, hold, release, settle_observed, side
 
 # Rows of one group that a single task may sort.
 HOT_ROWS = 2_000_000
@@ -92,8 +92,11 @@ def _kept(base: DataFrame, by: list[str], ties: list[str], m: int) -> DataFrame:
     return placed.groupBy(*by, "_pos", "_gap", *ties).agg(F.count(F.lit(1)).alias("_w"))
 
 
-def _hits(kept: DataFrame, brackets: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
-    """Exact cumulative counts over range partitions; rows that reach a wanted rank."""
+def _hits(
+    kept: DataFrame, brackets: DataFrame, by: list[str], ties: list[str]
+) -> tuple[DataFrame, bool]:
+    """Rows that reach a wanted rank, by exact running counts over range partitions; and
+    whether any wanted rank fell outside its bracket."""
     order = ["_pos", "_gap", *ties]
     ranged = hold(
         kept.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
@@ -128,11 +131,12 @@ def _hits(kept: DataFrame, brackets: DataFrame, by: list[str], ties: list[str])
             )
         ).alias("_found"),
     )
-    out = settle(
-        found.select(*by, "n", "_missed", F.transform("_found", lambda s: s["t"]).alias("cuts"))
+    out, seen = settle_observed(
+        found.select(*by, "n", "_missed", F.transform("_found", lambda s: s["t"]).alias("cuts")),
+        F.max("_missed").alias("missed"),
     )
     release(ranged)
-    return out
+    return out, bool(seen["missed"])
 
 
 def select_ranks(
@@ -160,11 +164,11 @@ def select_ranks(
     brackets = side(_sketch(base, keyed, targets))
     m = len(targets)
     marked = attach_side(base, brackets, keyed, "inner")
-    out = _hits(_kept(marked, keyed, ties, m), brackets, keyed, ties)
-    if out.where("_missed > 0").limit(1).count():
+    out, missed = _hits(_kept(marked, keyed, ties, m), brackets, keyed, ties)
+    if missed:
         nothing = F.lit(None).cast(T.ArrayType(T.DoubleType()))
         marked = base.select("*", nothing.alias("_low"), nothing.alias("_high"))
-        out = _hits(_kept(marked, keyed, ties, m), brackets, keyed, ties)
+        out, _ = _hits(_kept(marked, keyed, ties, m), brackets, keyed, ties)
     return out.select(*by, "n", "cuts")
 
 
