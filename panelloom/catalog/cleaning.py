@@ -156,21 +156,13 @@ def _(spark, sf_dir):
 
 @ENTRIES.add(
     "p14_expand_stored_list",
-    """WITH lists AS (SELECT o_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS v
-      FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey)
-    SELECT o_orderkey, CAST(unnest(generate_series(0, len(v) - 1)) AS INTEGER) AS position,
-      unnest(v) AS value FROM lists""",
+    f"""WITH v AS (SELECT {KEY}, [l_quantity, l_discount, l_tax] AS v FROM lineitem)
+    SELECT {KEY}, CAST(unnest(range(3)) AS INTEGER) AS position, unnest(v) AS value FROM v""",
 )
 def _(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    # An order's lines: seven numbers at most per order key in this schema.
-    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity")))
-    values = F.transform(pairs, lambda p: p["l_quantity"].cast("string"))
-    text = F.concat(F.lit("['"), F.array_join(values, "', '"), F.lit("']"))
-    stored = joined.groupBy("o_orderkey").agg(text.alias("stored"))
-    return profile.expand_array(stored, "stored", ["o_orderkey"])
+    values = F.concat_ws("', '", *[F.col(c).cast("string") for c in ("l_quantity", "l_discount", "l_tax")])
+    stored = table(spark, sf_dir, "lineitem").withColumn("stored", F.concat(F.lit("['"), values, F.lit("']")))
+    return profile.expand_array(stored, "stored", ROW_KEY)
 
 
 @ENTRIES.add(
