@@ -95,7 +95,7 @@ def _(spark, sf_dir):
 @ENTRIES.add("m3_logistic_one_vs_rest")
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)
-    _, pred = learners.predict(learners.logistic(X, "fq_ret_cls", "ovr"), train, test, KEY)
+    _, pred = learners.predict(learners.logistic_one_vs_rest(X, "fq_ret_cls", 3), train, test, KEY)
     return pred
 
 
@@ -109,7 +109,7 @@ def _(spark, sf_dir):
 @ENTRIES.add("m4_boosted_trees_classification")
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)
-    model = learners.gbt_classifier(X, "fq_ret_cls", maxDepth=3, maxIter=5, seed=1)
+    model = learners.gbt_classifier(X, "fq_ret_cls", 3, maxDepth=3, maxIter=5, seed=1)
     return learners.predict(model, train, test, KEY)[1]
 
 
@@ -146,7 +146,7 @@ def _(spark, sf_dir):
 @ENTRIES.add("m6_polynomial_support_vectors")
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)
-    model = learners.polynomial_svc(X, "fq_ret_cls", 3, maxIter=10, regParam=0.01)
+    model = learners.polynomial_svc(X, "fq_ret_cls", 3, 3, maxIter=10, regParam=0.01)
     return learners.predict(model, train, test, KEY)[1]
 
 

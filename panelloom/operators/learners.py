@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    OneVsRest,
 )
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import hold, release
 from .splits import train_test_split_by_date
 
 
@@ -55,40 +55,76 @@ def gbt_regressor(features, label, **params) -> Pipeline:
     return Pipeline(stages=[_assemble(features), model, _finish()])
 
 
+class OneVsRestScores:
+    """One binary model per class; the class with the largest margin wins.
+
+    Margins are compared in column expressions, so scoring stays on the JVM.
+    """
+
+    def __init__(self, prepare: Sequence, classifier: Estimator, label: str, n_classes: int):
+        self.prepare, self.classifier = list(prepare), classifier
+        self.label, self.n_classes = label, n_classes
+        self.front: PipelineModel | None = None
+        self.models: list[Model] = []
+
+    def fit(self, df: DataFrame) -> "OneVsRestScores":
+        self.front = Pipeline(stages=self.prepare).fit(df)
+        ready = hold(self.front.transform(df).select("_features", self.label))
+        self.models = [
+            self.classifier.fit(
+                ready.withColumn("_is", (F.col(self.label) == i).cast("double"))
+            )
+            for i in range(self.n_classes)
+        ]
+        release(ready)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.front.transform(df)
+        for i, model in enumerate(self.models):
+            out = model.transform(out).withColumn(f"_m{i}", vector_to_array("rawPrediction")[1])
+            out = out.drop("rawPrediction", "_guess", "probability")
+        margins = F.array(*[F.col(f"_m{i}") for i in range(self.n_classes)])
+        best = F.array_position(margins, F.array_max(margins)) - 1
+        return out.withColumn("pred", best.cast("double")).select(*df.columns, "pred")
+
+
+# Columns that every binary model of a one-vs-rest scheme writes.
+BINARY = {"featuresCol": "_features", "labelCol": "_is", "predictionCol": "_guess"}
+
+
+def logistic_one_vs_rest(
+    features, label, n_classes, c: float | None = None, n_rows=1
+) -> OneVsRestScores:
+    reg = 0.0 if c is None else 1.0 / (c * n_rows)
+    base = LogisticRegression(regParam=reg, family="binomial", **BINARY)
+    return OneVsRestScores([_assemble(features)], base, label, n_classes)
+
+
 def logistic(features, label, family="multinomial", c: float | None = None, n_rows=1) -> Pipeline:
-    """Multinomial, or one-vs-rest (``ovr``), with penalty ``1 / (n C)`` or none."""
+    """Multinomial (or another family Spark has), with penalty ``1 / (n C)`` or none."""
     reg = 0.0 if c is None else 1.0 / (c * n_rows)
     own = {"featuresCol": "_features", "labelCol": label, "predictionCol": "pred"}
-    if family == "ovr":
-        base = LogisticRegression(featuresCol="_features", labelCol=label, regParam=reg, family="binomial")
-        model: Estimator = OneVsRest(classifier=base, **own)
-        return Pipeline(stages=[_assemble(features), model, _finish()])
     model = LogisticRegression(
         regParam=reg, family=family, probabilityCol="_probability", rawPredictionCol="_raw", **own
     )
     return Pipeline(stages=[_assemble(features), model, _finish(("_features", "_raw"))])
 
 
-def gbt_classifier(features, label, **params) -> Pipeline:
+def gbt_classifier(features, label, n_classes, **params) -> OneVsRestScores:
     """Boosted trees for several classes, one against the rest each."""
-    base = GBTClassifier(featuresCol="_features", labelCol=label, **params)
-    model = OneVsRest(classifier=base, featuresCol="_features", labelCol=label, predictionCol="pred")
-    return Pipeline(stages=[_assemble(features), model, _finish()])
+    base = GBTClassifier(**BINARY, **params)
+    return OneVsRestScores([_assemble(features)], base, label, n_classes)
 
 
-def polynomial_svc(features, label, degree=3, **params) -> Pipeline:
+def polynomial_svc(features, label, n_classes, degree=3, **params) -> OneVsRestScores:
     """Linear machine on polynomial features, one class against the rest each."""
-    base = LinearSVC(featuresCol="_features", labelCol=label, **params)
-    model = OneVsRest(classifier=base, featuresCol="_features", labelCol=label, predictionCol="pred")
-    return Pipeline(
-        stages=[
-            _assemble(features, "_raw_features"),
-            PolynomialExpansion(degree=degree, inputCol="_raw_features", outputCol="_poly"),
-            StandardScaler(inputCol="_poly", outputCol="_features", withMean=True),
-            model,
-            _finish(("_features", "_raw_features", "_poly")),
-        ]
-    )
+    prepare = [
+        _assemble(features, "_raw_features"),
+        PolynomialExpansion(degree=degree, inputCol="_raw_features", outputCol="_poly"),
+        StandardScaler(inputCol="_poly", outputCol="_features", withMean=True),
+    ]
+    return OneVsRestScores(prepare, LinearSVC(**BINARY, **params), label, n_classes)
 
 
 def net(features, label, layers, seed, max_iter=50) -> Pipeline:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..session import attach, attach_side, hold, release, settle_observed, side
+from ..session import attach, attach_side, hold, release, settle_measured, side
 
 # Rows of one group that a single task may sort.
 HOT_ROWS = 2_000_000
@@ -131,7 +131,7 @@ def _hits(
             )
         ).alias("_found"),
     )
-    out, seen = settle_observed(
+    out, seen = settle_measured(
         found.select(*by, "n", "_missed", F.transform("_found", lambda s: s["t"]).alias("cuts")),
         F.max("_missed").alias("missed"),
     )

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is broadcast only when its counted rows stay below this bound.
@@ -58,20 +58,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle_observed(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
-    """Settle a frame and return aggregates that were observed in the same job."""
-    seen = Observation()
-    return settle(df.observe(seen, *metrics)), seen.get
+def settle_measured(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """Settle a frame and return aggregates of what was written.
+
+    An observation would save the second, tiny job, but once a session has observed
+    anything, Spark's binary classifiers can no longer be shipped to tasks.
+    """
+    settled = settle(df)
+    return settled, settled.agg(*metrics).first().asDict()
 
 
 def side(small: DataFrame) -> DataFrame:
     """Settle per-group statistics and mark them for broadcast if they are few.
 
-    The rows are counted while they are written. Beyond the bound the frame is left unmarked and Spark
+    The rows are counted first. Beyond the bound the frame is left unmarked and Spark
     shuffles the join, splitting hot groups by its adaptive skew join (the statistics
     are unique per key).
     """
-    small, found = settle_observed(small, F.count(F.lit(1)).alias("n"))
+    small, found = settle_measured(small, F.count(F.lit(1)).alias("n"))
     return F.broadcast(small) if found["n"] <= BROADCAST_ROWS else small
 
 
