@@ -52,10 +52,13 @@ def ridge_cv(
     The panel is aggregated once to monthly sums (per epoch, of that epoch's sample); a
     fold's training set is the sum of the months it keeps, and every alpha is solved
     from the same sums. A second pass scores all rows with all models, and folds and
-    models are mere group keys of the evaluation.
+    models are mere group keys of the evaluation. The panel's needed columns are held
+    for these passes; the scores (models x folds x metrics) are settled.
     """
     p = len(features)
-    rows = _with_epochs(df, n_epoch)
+    needed = [date, *key, *features, label, *([strategy["label_fm"]] if strategy else [])]
+    held = hold(df.select(*dict.fromkeys(needed)))
+    rows = _with_epochs(held, n_epoch)
     sampled = in_sample(key, subsample, F.col("epoch")) if subsample < 1 else F.lit(True)
     monthly = moments(rows.where(sampled), features, label, ["epoch", date])
     rule = (folds, purge_length, embargo_length, train_from_future)
@@ -76,7 +79,9 @@ def ridge_cv(
     scored = attach_side(used, side(fits), ["epoch", "fold"], "inner")
     scored = scored.select("*", F.explode("_fits").alias("_fit")).select("*", "_fit.*")
     scored = scored.withColumn("pred", linear_score(features)).drop("_fits", "_fit")
-    return evaluate_model(scored, "reg", label, KEYS, strategy)
+    scores = settle(evaluate_model(scored, "reg", label, KEYS, strategy))
+    release(held)
+    return scores
 
 
 def fold_frames(df: DataFrame, date: str, fold, rule: tuple) -> tuple[DataFrame, DataFrame]:

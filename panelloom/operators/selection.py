@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_pvalue, range_critical, range_pvalue, t_pvalue
+from ..session import settle
 from .profile import correlation_matrix
 
 
@@ -134,6 +135,8 @@ def select_best_model(
         return select_best_model(one, ["study"], metrics, threshold, metric_selection).drop("study")
     keys = list(keys)
     by = [*keys, "metric"]
+    # Scores are models x folds x metrics rows; several tests read them.
+    long = settle(long)
     tests = anova(long, by)
     pairs = post_hoc(long, by, threshold)
     passing = tests.where(F.col("p_value") < threshold).join(

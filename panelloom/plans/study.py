@@ -13,7 +13,7 @@ from ..operators import crossval, interpret, linear, metrics, returns, selection
 from ..operators.bins import rank_predictions
 from ..operators.learners import predict
 from ..operators.splits import expand_grid, month_span, train_test_split_by_date, val_dates
-from ..session import settle
+from ..session import hold, release, settle
 from ..sources.writers import write_results
 
 
@@ -81,7 +81,7 @@ def search(config: StudyConfig, train: DataFrame) -> DataFrame:
             train, config.date, config.key, config.label, config.make, sets, kind=config.kind,
             strategy=strategy, **common,
         )
-    long = settle(long)
+    # Both searches return settled scores.
     if len(sets) > 1:
         long = long.unionByName(crossval.combined_metric(long, config.cv_metrics))
     return long
@@ -112,6 +112,14 @@ def run_study(
     model: str = "model",
 ) -> dict[str, DataFrame]:
     """Run the study; every result is a DataFrame and, with ``output``, a stored table."""
+    columns = list(
+        dict.fromkeys(
+            [config.date, *config.key, *config.features, config.label, config.label_fm,
+             *([config.edge] if config.edge else []), *config.extra]
+        )
+    )
+    # Search, fit and prediction read the same columns; nothing else of the panel is kept.
+    panel = hold(panel.select(*columns))
     train, test = train_test_split_by_date(
         panel, config.date, config.test_begin, config.test_end,
         train_from_future=config.train_from_future,
@@ -126,12 +134,6 @@ def run_study(
     # The one number that the driver needs to go on: which parameter set to fit.
     selected = chosen.first()["id_selected"]
     params = expand_grid(config.param_grid)[selected]
-    columns = list(
-        dict.fromkeys(
-            [config.date, *config.key, *config.features, config.label, config.label_fm,
-             *([config.edge] if config.edge else []), *config.extra]
-        )
-    )
     if config.make is None:
         sides = _ridge_predictions(config, panel, train, test, params["alpha"], columns)
     else:
@@ -182,9 +184,13 @@ def run_study(
     if config.make is None and len(config.features) <= 2 and not config.expand_window:
         coefs = linear.fit_ridge(train, config.features, config.label, params["alpha"])
         limits = config.limits or interpret.data_limits(train, config.features)
-        results["surface"] = interpret.surface(spark, coefs, config.features, config.step, limits)
+        results["surface"] = interpret.surface(
+            spark, settle(coefs), config.features, config.step, limits
+        )
     if output:
         write_results(results, output, model)
+    # What is still lazy reads settled tables only.
+    release(panel)
     return results
 
 
