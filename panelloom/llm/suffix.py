@@ -480,8 +480,8 @@ def keep_task(with_text: bool) -> Callable:
         arrays = [docs.column("doc_id"), *(pa.array(c[:], pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if with_text:
-            arrays.append(pa.array(columns[4], pa.binary()))
-            names.append("kept")
+            arrays.append(pa.array([c.decode("utf-8", "ignore") for c in columns[4]], pa.string()))
+            names.append("kept_text")
         return pa.Table.from_arrays(arrays, names)
 
     return run
@@ -492,7 +492,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     with a smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with
-    ``with_text``, kept (the remaining bytes, which may cut a character). Texts are UTF-8
+    ``with_text``, kept_text (the remaining bytes as text, without cut characters). Texts are UTF-8
     bytes; null counts as empty. Matches never cross documents, and repeats inside one
     document stay. Rows that share a doc_id are one document to the rule and are all judged
     by it as first read; doc_id must be unique for spans to be exact, rows with a null doc_id
@@ -512,5 +512,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     found = texts.groupBy("shard").applyInArrow(shard_task(blocks, length, gram), SPANS_SQL)
     found, _ = stage(found, "found")
     every = spans.where("group < 0").union(found)
-    schema = KEPT_SQL + (", kept binary" if with_text else "")
+    schema = KEPT_SQL + (", kept_text string" if with_text else "")
     return by_block.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(keep_task(with_text), schema)
