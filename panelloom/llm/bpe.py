@@ -142,20 +142,28 @@ class TokenAutomaton:
             return []
         symbols[-1] += self.suffix
         n = len(symbols)
+        # Depth first, longest arc first. A prefix has one path only, so a position that
+        # was reached once and led nowhere never needs a second look.
         reached: list[tuple[int, int] | None] = [None] * (n + 1)
-        for i in range(n):
-            if i and reached[i] is None:
-                continue
-            state = self.state[reached[i][0]] if i else 0
-            node, j = self.trie, i
+        reached[0] = (-1, -1)
+        todo = [0]
+        state_of, trie, has_arc = self.state, self.trie, self.has_arc
+        while todo and reached[n] is None:
+            i = todo.pop()
+            state = state_of[reached[i][0]] if i else 0
+            node, j, ends = trie, i, []
             while j < n:
                 node = node.get(symbols[j])
                 if node is None:
                     break
                 j += 1
                 token = node.get("")
-                if token is not None and reached[j] is None and self.has_arc(state, token):
+                if token is not None and reached[j] is None:
+                    ends.append((token, j))
+            for token, j in ends:  # the last one pushed, the longest, is taken first
+                if has_arc(state, token):
                     reached[j] = (token, i)
+                    todo.append(j)
         out, j = [], n
         while j:
             token, j = reached[j]
@@ -233,7 +241,8 @@ class Encoder:
         """(tokens, ids, labels) of a run without white space."""
         found = self.old.get(run)
         if found is None:
-            ids = [i for w in self.words(run) for i in self.automaton.encode_word(w)]
+            words = (run,) if run.isalpha() else self.words(run)
+            ids = [i for w in words for i in self.automaton.encode_word(w)]
             found = (len(ids), " ".join(map(str, ids)), self.automaton.decode(ids))
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
