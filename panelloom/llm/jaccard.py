@@ -12,8 +12,9 @@ overlaps of each candidate pair are counted segment by segment and summed per pa
 
 Equal sets are one *class* from the first task on, so exact copies are never paired. Links
 inside a group that is already connected need no check: candidates are first compared with
-one partner, then with one partner for each shared shingle, and only pairs that are still in
-different groups are enumerated in full. So a group of near copies costs about as many pairs
+one partner, then ``STARS`` times with one partner for each shared shingle, and only pairs that are still in
+different groups are enumerated in full, position by position: a shared shingle counts only
+where enough of both sets is left behind it to reach the overlap that their sizes need. So a group of near copies costs about as many pairs
 as it has members, and no link between different groups is lost.
 """
 
@@ -33,6 +34,7 @@ from .common import (
 WORDS = 5
 THRESHOLD = (3, 4)  # similarity 0.75 as a fraction
 FRAGMENTS = 4
+STARS = 2  # turns of one partner for each shared shingle
 FLUSH = 4_000_000  # shingles a task gathers before it deals them
 
 # ASCII rules of the word pattern (fixed values).
@@ -197,7 +199,7 @@ def share_task(fragments: int) -> Callable:
     return run
 
 
-ALIVE = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+ALIVE = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("ahead", pa.int32()), ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
 
 
 def prefix_task(threshold: tuple[int, int]) -> Callable:
@@ -228,6 +230,7 @@ def prefix_task(threshold: tuple[int, int]) -> Callable:
         take = (size_of - need + 1 - (size_of - have))[alive]
         return pa.Table.from_arrays([
             pa.array(known[alive].view(np.int64)), pa.array(size_of[alive].astype(np.int32)),
+            pa.array((size_of - have)[alive].astype(np.int32)),
             pa.array([value[cut[c] : cut[c] + t].view(np.int64) for c, t in zip(alive, take, strict=True)], pa.list_(pa.int64())),
             pa.array([np.sort(value[cut[c] : cut[c + 1]]).view(np.int64) for c in alive], pa.list_(pa.int64())),
         ], schema=ALIVE)
@@ -244,12 +247,11 @@ def unpack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, segments: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (a, b, na, nb) that reach the threshold: partial overlaps summed per pair."""
     top, bottom = threshold
-    left = segments.select(F.col("cls").alias("a"), "part", F.col("segment").alias("x"))
-    right = segments.select(F.col("cls").alias("b"), "part", F.col("segment").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "part"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("partial")
-    )
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("both"))
+    left = segments.select(F.col("cls").alias("a"), F.col("segments").alias("x"))
+    right = segments.select(F.col("cls").alias("b"), F.col("segments").alias("y"))
+    partial = F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y)))
+    total = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, v: s + v).alias("both"))
     return total.where(bottom * F.col("both") >= top * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -274,43 +276,44 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
     members = shared.where("docs").select("keys").mapInArrow(unpack_docs, "doc_id long, n_shingles long, cls long")
     alive, alive_path = stage(
         shared.where("NOT docs").groupBy("frag").applyInArrow(
-            prefix_task(threshold), "cls long, n int, prefix array<long>, shared array<long>"), "alive")
-    segments = alive.select("cls", F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("part"), "shared")
-    segments = segments.select("cls", "part", F.expr(f"filter(shared, v -> pmod(v, {FRAGMENTS}) = part)").alias("segment"))
-    tokens = alive.select("cls", "n", F.explode("prefix").alias("token"))
+            prefix_task(threshold), "cls long, n int, ahead int, prefix array<long>, shared array<long>"), "alive")
+    cut = [F.expr(f"filter(shared, v -> pmod(v, {FRAGMENTS}) = {i})") for i in range(FRAGMENTS)]
+    segments = alive.select("cls", F.array(*cut).alias("segments"))
+    # left: shingles of the set from this one on, itself included, in the global order.
+    tokens = alive.select("cls", "n", "ahead", F.posexplode("prefix").alias("at", "token")).select(
+        "cls", "n", "token", (F.col("n") - F.col("ahead") - F.col("at")).alias("left"))
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     tokens, tokens_path = stage(tokens.join(rare, "token", "left_semi"), "tokens")
     top, bottom = threshold
-    fits = f"least(na, nb) * {bottom} >= greatest(na, nb) * {top}"
+    # Sizes are close enough, and what is left of either set from the shared shingle on can
+    # still hold the overlap that the two sizes need. The first shared shingle passes this.
+    fits = (f"least(na, n) * {bottom} >= greatest(na, n) * {top}"
+            f" AND least(left, la) * {top + bottom} >= (n + na) * {top}")
+    partner = [F.col("cls").alias("a"), F.col("n").alias("na"), F.col("left").alias("la")]
 
-    def paired(source: DataFrame, pivots: DataFrame) -> DataFrame:
-        joined_rows = source.join(pivots, "token").where("a <> cls").select(
-            "a", F.col("cls").alias("b"), "na", F.col("n").alias("nb"))
-        return joined_rows.where(fits).distinct()
+    def paired(rows: DataFrame, partners: DataFrame, other: str) -> DataFrame:
+        found = rows.join(partners, "token").where(other).where(fits)
+        return found.select("a", F.col("cls").alias("b"), "na", F.col("n").alias("nb")).distinct()
 
     # First one partner per set, then one for each shared shingle, then all that is left.
-    pivots = tokens.groupBy("token").agg(F.min(F.struct(F.col("cls").alias("a"), F.col("n").alias("na"))).alias("p")).select("token", "p.*")
-    one = paired(tokens, pivots).groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("p")).select("p.*", "b", "nb")
+    pivots = tokens.groupBy("token").agg(F.min(F.struct(*partner)).alias("p")).select("token", "p.*")
+    one = paired(tokens, pivots, "a <> cls").groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("p")).select("p.*", "b", "nb")
     links, links_path = stage(verified(one, segments, threshold), "links")
     paths = [shared_path, alive_path, tokens_path, links_path]
-    for full in (False, True):
+    for turn in range(STARS + 1):
         groups = components(links)
         labelled = tokens.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
             "root", F.coalesce("root", "cls"))
         open_tokens = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         labelled = labelled.join(open_tokens.select("token"), "token", "left_semi")
-        if full:
-            other = labelled.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("other"))
-            pairs = labelled.join(other, "token").where("root <> other AND a < cls").select(
-                "a", F.col("cls").alias("b"), "na", F.col("n").alias("nb")).where(fits).distinct()
+        others = labelled.select("token", F.col("root").alias("other"), *partner)
+        if turn == STARS:
+            pairs = paired(labelled, others, "root <> other AND a < cls")
         else:
-            # A token's partner here is the first member of its largest root, so that other
-            # sets are tried than in the first round.
-            pivots = labelled.groupBy("token").agg(
-                F.max(F.struct("root", F.col("cls").alias("a"), F.col("n").alias("na"))).alias("p")).select(
-                "token", "p.a", "p.na", F.col("p.root").alias("other"))
-            pairs = labelled.join(pivots, "token").where("root <> other").select(
-                "a", F.col("cls").alias("b"), "na", F.col("n").alias("nb")).where(fits).distinct()
+            # A member of the smallest group, another one for each shingle and turn.
+            draw = F.xxhash64(F.lit(turn), "token", "a")
+            pivots = others.groupBy("token").agg(F.min(F.struct("other", draw, "a", "na", "la")).alias("p"))
+            pairs = paired(labelled, pivots.select("token", "p.other", "p.a", "p.na", "p.la"), "root <> other")
         more, more_path = stage(verified(pairs, segments, threshold), "links")
         paths.append(more_path)
         links = links.union(more)
