@@ -228,6 +228,9 @@ def covered_windows(texts: np.ndarray, offsets: np.ndarray, document: np.ndarray
 # ---- anchors --------------------------------------------------------------------------
 
 
+NO_RUNS = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint16, np.uint16)
+
+
 class Anchors:
     """Runs of windows with one anchor, for many documents at once."""
 
@@ -238,10 +241,15 @@ class Anchors:
         self.hasher = SpanHasher()
 
     def runs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, first window, last window, anchor hash, hash of the run's bytes)."""
+        """(document, first window, last window, anchor hash, hash of the run's bytes, codes of
+        the bytes left and right of the anchor).
+
+        Two windows with one anchor can only be equal if ``side`` bytes before it or after it
+        are. A code is 0 where no window of the run reaches so far.
+        """
         length, gram, n = self.length, self.gram, len(data)
         if n < length:
-            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+            return tuple(np.empty(0, t) for t in NO_RUNS)
         prefix = self.hasher.prefix(data)
         start = np.arange(n - gram + 1)
         hashes = self.hasher.spans(prefix, start, start + gram)
@@ -265,13 +273,19 @@ class Anchors:
         new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
         begin = np.flatnonzero(new | np.isin(np.arange(len(low)), first[fits]) & valid)
         if not len(begin):
-            return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+            return tuple(np.empty(0, t) for t in NO_RUNS)
         # A run ends before the next one or where its document has no more windows.
         document = np.searchsorted(offsets, begin, side="right") - 1
         end = np.minimum(np.r_[begin[1:], len(low)], last[document]) - 1
         key = hashes[anchor[begin]]
         body = self.hasher.spans(prefix, begin, end + length) + (anchor[begin] - begin).astype(np.uint64)
-        return document, begin - offsets[document], end - offsets[document], key, body
+        at, side = anchor[begin], -(-(length - gram) // 2)
+        codes = []
+        for a, b, reached in ((at - side, at, at - side >= begin), (at + gram, at + gram + side, at + gram + side <= end + length)):
+            code = np.zeros(len(at), np.uint16)
+            code[reached] = (self.hasher.spans(prefix, a[reached], b[reached]) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+            codes.append(code)
+        return document, begin - offsets[document], end - offsets[document], key, body, *codes
 
 
 def pieces(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, size: int = PIECE) -> Iterator[tuple]:
@@ -295,9 +309,10 @@ def pieces(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int,
 
 RUNS = pa.schema([
     ("frag", pa.int32()), ("keys", pa.binary()), ("bodies", pa.binary()), ("starts", pa.binary()),
-    ("sizes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()),
+    ("sizes", pa.binary()), ("lefts", pa.binary()), ("rights", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()),
 ])
-RUNS_SQL = "frag int, keys binary, bodies binary, starts binary, sizes binary, docs binary, counts binary"
+RUNS_SQL = ("frag int, keys binary, bodies binary, starts binary, sizes binary, lefts binary, rights binary,"
+            " docs binary, counts binary")
 SPANS = pa.schema([
     ("block", pa.int32()), ("group", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()),
     ("keys", pa.binary()),
@@ -312,7 +327,7 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def run_task(fragments: int, length: int, gram: int) -> Callable:
     def deal(held: list[tuple]) -> pa.RecordBatch:
-        doc, start, end, key, body = (np.concatenate(c) for c in zip(*held, strict=True))
+        doc, start, end, key, body, left, right = (np.concatenate(c) for c in zip(*held, strict=True))
         order, found, cut = by_key(((key >> np.uint64(32)) % np.uint64(fragments)).astype(np.int32))
         rows = []
         for i, f in enumerate(found):
@@ -321,7 +336,7 @@ def run_task(fragments: int, length: int, gram: int) -> Callable:
             rows.append((
                 int(f), (key[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), body[at].tobytes(),
                 start[at].astype(np.uint32).tobytes(), (end - start)[at].astype(np.uint8).tobytes(),
-                doc[at][begin].tobytes(), np.diff(np.r_[begin, len(at)]).astype(np.int32).tobytes(),
+                left[at].tobytes(), right[at].tobytes(), doc[at][begin].tobytes(), np.diff(np.r_[begin, len(at)]).astype(np.int32).tobytes(),
             ))
         return batch_of(rows, RUNS)
 
@@ -332,8 +347,8 @@ def run_task(fragments: int, length: int, gram: int) -> Callable:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = binary_column(batch.column("text"))
             for part, shift, raw, cut in pieces(ids, data, offsets, length):
-                document, start, end, key, body = make.runs(raw, cut)
-                held.append((part[document], start + shift[document], end + shift[document], key, body))
+                document, start, end, key, body, left, right = make.runs(raw, cut)
+                held.append((part[document], start + shift[document], end + shift[document], key, body, left, right))
                 if sum(len(h[0]) for h in held) >= FLUSH:
                     yield deal(held)
                     held.clear()
@@ -343,6 +358,17 @@ def run_task(fragments: int, length: int, gram: int) -> Callable:
     return run
 
 
+def several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether more than one document has a row's key."""
+    order = np.argsort(key, kind="stable")
+    begin = run_starts(key[order])
+    out = np.zeros(len(key), bool)
+    if len(begin):
+        low, high = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
+        out[order] = np.repeat(high > low, np.diff(np.r_[begin, len(key)]))
+    return out
+
+
 def fragment_task(fragments: int, blocks: int, length: int) -> Callable:
     """One fragment of anchors: spans that go whole (group -1) and texts to be sorted."""
 
@@ -352,6 +378,7 @@ def fragment_task(fragments: int, blocks: int, length: int) -> Callable:
         body = joined(table.column("bodies"), np.uint64)
         start = joined(table.column("starts"), np.uint32)
         size = joined(table.column("sizes"), np.uint8)
+        left, right = joined(table.column("lefts"), np.uint16), joined(table.column("rights"), np.uint16)
         doc = np.repeat(joined(table.column("docs"), np.int64), joined(table.column("counts"), np.int32))
         # Anchors that occur once are the most: leave them out before the full sort.
         order = np.argsort(anchor, kind="stable")
@@ -370,8 +397,13 @@ def fragment_task(fragments: int, blocks: int, length: int) -> Callable:
             whole = doc > own_low
             texts_in_group = np.repeat(np.diff(np.searchsorted(text, np.r_[group, n])), group_size)
             highest = np.repeat(np.maximum.reduceat(own_low, group), group_size)
-            # Texts compete where a group has several whose smallest documents differ.
+            # Texts are compared where a group has several whose smallest documents differ and
+            # that agree next to the anchor.
             compared = ~whole & (texts_in_group > 1) & (highest > lowest_doc)
+            spot = np.flatnonzero(compared)
+            number = np.repeat(np.arange(len(group), dtype=np.uint64) << np.uint64(16), group_size)[spot]
+            near = [c[order][spot] for c in (left, right)]
+            compared[spot] = np.any([(c > 0) & several(number | c, doc[spot]) for c in near], axis=0)
             block = doc % blocks
             for chosen, kind in ((np.flatnonzero(whole), -1), (np.flatnonzero(compared), fragment)):
                 by = chosen[np.argsort(block[chosen], kind="stable")]

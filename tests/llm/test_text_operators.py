@@ -259,10 +259,10 @@ def test_remove_repeats(documents, monkeypatch):
 def test_long_texts_are_cut_into_pieces():
     make = suffix.Anchors()
     data = np.frombuffer(prose(4, 3000).encode(), np.uint8)
-    whole = {w: k for _, a, b, k in [(d, a, b, k) for d, a, b, k, _ in zip(*make.runs(data, np.array([0, len(data)])))] for w in range(a, b + 1)}
+    whole = {w: k for _, a, b, k in [(d, a, b, k) for d, a, b, k, *_ in zip(*make.runs(data, np.array([0, len(data)])))] for w in range(a, b + 1)}
     pieced = {}
     for ids, shift, raw, cut in suffix.pieces(np.array([5]), data, np.array([0, len(data)]), 50, size=1000):
-        for d, a, b, k, _ in zip(*make.runs(raw, cut)):
+        for d, a, b, k, *_ in zip(*make.runs(raw, cut)):
             pieced |= {int(w + shift[d]): k for w in range(a, b + 1)}
     assert {int(w): k for w, k in whole.items()} == pieced and len(pieced) == len(data) - 49
 
