@@ -145,7 +145,7 @@ def discretize_by_value(
     above = F.lit(0)
     for i in range(n_classes - 1):
         above = above + F.when(x > F.col("_edges")[i], 1).otherwise(0)
-    bin_ = F.when(x.isNotNull(), above).cast("int")
+    bin_ = F.when(x.isNotNull() & ~F.isnan(x.cast("double")), above).cast("int")
     return out.withColumn(
         output or f"{variable}_discrete", named(bin_, class_names_of(class_names))
     ).drop("_edges")

@@ -94,9 +94,14 @@ def adjusted_edge(
     return df.withColumn(names[0], adj).withColumn(names[1], F.col(ret) - F.col(names[0]))
 
 
+def known(column: str) -> Column:
+    """A column as double in which NaN is missing like NULL."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
 def clip(x: Column, low: Column, high: Column) -> Column:
-    """Limit to [low, high]; a missing value stays missing."""
-    return F.when(x.isNotNull(), F.greatest(F.least(x, high), low))
+    """Limit to [low, high]; a missing value (NULL or NaN) stays missing."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.least(x, high), low))
 
 
 def winsorize(
@@ -124,11 +129,14 @@ def winsorize(
 def standardize(
     df: DataFrame, features: Sequence[str], by: Sequence[str] | None = None, center: str = "mean"
 ) -> DataFrame:
-    """``(x - mean or median) / sample std`` over the whole frame or each ``by`` group."""
+    """``(x - mean or median) / sample std`` over the whole frame or each ``by`` group.
+
+    Missing values (NULL or NaN) count for nothing and stay missing.
+    """
     by = list(by or [])
-    aggs = [F.stddev_samp(f).alias(f"_d_{f}") for f in features]
+    aggs = [F.stddev_samp(known(f)).alias(f"_d_{f}") for f in features]
     if center == "mean":
-        aggs += [F.avg(f).alias(f"_m_{f}") for f in features]
+        aggs += [F.avg(known(f)).alias(f"_m_{f}") for f in features]
     stats = df.groupBy(*by).agg(*aggs)
     out = attach(df, stats, by)
     if center == "median":
@@ -138,7 +146,7 @@ def standardize(
         f: F.col(f"_m_{f}") if center == "mean" else F.col(f"q_{f}")[0] for f in features
     }
     scaled = {
-        f: (F.col(f) - middle[f]) / F.nullif(F.col(f"_d_{f}"), F.lit(0.0)) for f in features
+        f: (known(f) - middle[f]) / F.nullif(F.col(f"_d_{f}"), F.lit(0.0)) for f in features
     }
     return out.withColumns(scaled).select(*df.columns)
 

@@ -202,7 +202,9 @@ def quantiles(
     for i, p in enumerate(probs):
         a, b = F.col("cuts")[2 * i]["x"], F.col("cuts")[2 * i + 1]["x"]
         spot = (F.col("n") - 1) * F.lit(float(p))
-        values.append(a + (b - a) * (spot - F.floor(spot)))
+        part = spot - F.floor(spot)
+        # Between equal values nothing is interpolated: infinities would give NaN.
+        values.append(F.when((a == b) | (part == 0), a).otherwise(a + (b - a) * part))
     long_q = cuts.select(*by, "_variable", F.array(*values).alias("_q"))
     return long_q.groupBy(*by).agg(
         *[F.max(F.when(F.col("_variable") == c, F.col("_q"))).alias(f"q_{c}") for c in columns]

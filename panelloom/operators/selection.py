@@ -37,10 +37,15 @@ def anova(long: DataFrame, keys: Sequence[str], group: str = "model_id") -> Data
     )
     between = F.col("_between") / F.nullif("df_between", F.lit(0))
     within = F.col("_within") / F.nullif("df_within", F.lit(0))
-    out = whole.withColumn("f_stat", between / F.nullif(within, F.lit(0.0)))
+    # Folds that agree exactly: different means are infinitely significant.
+    exact = F.when((within == 0) & (between > 0), F.lit(float("inf")))
+    out = whole.withColumn("f_stat", F.coalesce(exact, between / F.nullif(within, F.lit(0.0))))
     p = f_pvalue("f_stat", F.col("df_between").cast("double"), F.col("df_within").cast("double"))
+    infinite = F.col("f_stat") == float("inf")
     return out.select(
-        *keys, "df_between", "df_within", F.round("f_stat", 6).alias("f_stat"), F.round(p, 12).alias("p_value")
+        *keys, "df_between", "df_within",
+        F.when(infinite, F.col("f_stat")).otherwise(F.round("f_stat", 6)).alias("f_stat"),
+        F.when(infinite, F.lit(0.0)).otherwise(F.round(p, 12)).alias("p_value"),
     )
 
 
@@ -147,7 +152,9 @@ def select_best_model(
     wanted = passing.where(F.col("metric").isin(listed)).withColumn("_order", order)
     if metric_selection == "corr":
         corr = correlation_of_metrics(long, keys, listed)
-        rank = F.struct(F.coalesce("corr", F.lit(-2.0)), -F.col("_order"))
+        # The strategy's own score needs no stand-in: where it passes, it is the choice.
+        own = F.when(F.col("metric") == "Top-Bottom", F.lit(2.0))
+        rank = F.struct(F.coalesce(own, "corr", F.lit(-2.0)), -F.col("_order"))
         wanted = wanted.join(corr, by, "left")
     elif metric_selection == "p":
         rank = F.struct(-F.col("p_value"), -F.col("_order"))

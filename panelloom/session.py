@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     current = sc.getCheckpointDir()
     if current is None:
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="panelloom-"))
         current = sc.getCheckpointDir()
     return configured or current
