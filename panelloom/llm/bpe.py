@@ -72,6 +72,8 @@ class TokenAutomaton:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             pieces.append((vocab[left], vocab[right], vocab[left + right]))
         for time, (u, v, uv) in enumerate(pieces):
+            if not self.present(self.state[u], v):
+                continue  # u is never followed by v: earlier merges leave no such place
             target = self.state[v]
             if self.made[uv] is None:
                 self._point(uv, target, owners)
@@ -113,23 +115,26 @@ class TokenAutomaton:
                 out[token] = list(label)
         return out
 
+    def present(self, state: int, token: int) -> bool:
+        """Is there an arc: was neither it nor, when it was copied from them, its left parts
+        withdrawn?"""
+        gone = self.withdrawn[state]
+        limit, x = len(self.made) * 2, token
+        while True:
+            at = gone.get(x)
+            if at is not None and at <= limit:
+                return False
+            source = self.made[x]
+            if source is None:
+                return True
+            limit, x = source
+
     def has_arc(self, state: int, token: int) -> bool:
         """Transition table, filled on first use."""
         key = state * self.width + token
         found = self.arcs.get(key)
         if found is None:
-            gone = self.withdrawn[state]
-            limit = len(self.made) * 2
-            found, x = True, token
-            while True:
-                at = gone.get(x)
-                if at is not None and at <= limit:
-                    found = False
-                    break
-                source = self.made[x]
-                if source is None:
-                    break
-                limit, x = source
+            found = self.present(state, token)
             if len(self.arcs) >= 5 * CACHE_WORDS:
                 self.arcs.clear()
             self.arcs[key] = found
