@@ -28,7 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 250_000  # words remembered per worker in each of two generations
+CACHE_WORDS = 120_000  # words remembered per worker in each of two generations
+CACHE_ARCS = 250_000  # transitions remembered per worker
+ROWS = 500  # encoded at a time
 
 
 def byte_symbols() -> list[str]:
@@ -135,7 +137,7 @@ class TokenAutomaton:
         found = self.arcs.get(key)
         if found is None:
             found = self.present(state, token)
-            if len(self.arcs) >= 5 * CACHE_WORDS:
+            if len(self.arcs) >= CACHE_ARCS:
                 self.arcs.clear()
             self.arcs[key] = found
         return found
@@ -293,26 +295,31 @@ OUTPUT = pa.schema([
 ])
 
 
+def encoded(batch: pa.RecordBatch, encoder: Encoder, keep: bool) -> pa.RecordBatch:
+    columns: list[list] = [[] for _ in range(6 if keep else 4)]
+    for text in batch.column("text"):
+        parts = encoder.parts(text.as_py() or "")
+        ids = " ".join([p[1] for p in parts if p[0]])
+        decoded = " ".join([p[2] for p in parts if p[0]])
+        columns[1].append(sum([p[0] for p in parts]))
+        columns[2].append(hashlib.sha256(ids.encode()).hexdigest())
+        columns[3].append(hashlib.sha256(decoded.encode()).hexdigest())
+        if keep:
+            columns[4].append(np.array(ids.split(), dtype=np.int32))
+            columns[5].append(decoded)
+    arrays = [batch.column("doc_id").cast(pa.int64())]
+    arrays += [pa.array(c, OUTPUT.field(i + 1).type) for i, c in enumerate(columns[1:])]
+    return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(list(OUTPUT)[: len(arrays)]))
+
+
 def encoding_task(encoder_of: Callable[[], Encoder], keep: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for whole in batches:
             if encoder is None:
                 encoder = encoder_of()
-            columns: list[list] = [[] for _ in range(6 if keep else 4)]
-            for text in batch.column("text"):
-                parts = encoder.parts(text.as_py() or "")
-                ids = " ".join([p[1] for p in parts if p[0]])
-                decoded = " ".join([p[2] for p in parts if p[0]])
-                columns[1].append(sum([p[0] for p in parts]))
-                columns[2].append(hashlib.sha256(ids.encode()).hexdigest())
-                columns[3].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if keep:
-                    columns[4].append(np.array(ids.split(), dtype=np.int32))
-                    columns[5].append(decoded)
-            arrays = [batch.column("doc_id").cast(pa.int64())]
-            arrays += [pa.array(c, OUTPUT.field(i + 1).type) for i, c in enumerate(columns[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(list(OUTPUT)[: len(arrays)]))
+            for first in range(0, max(whole.num_rows, 1), ROWS):
+                yield encoded(whole.slice(first, ROWS), encoder, keep)
 
     return run
 
@@ -321,6 +328,7 @@ def worker_encoder(spec: dict) -> Encoder:
     """The encoder of a broadcast file; a worker process compiles it once and keeps it there."""
     if "encoder" not in spec:
         spec["encoder"] = Encoder(spec)
+        del spec["model"]
     return spec["encoder"]
 
 

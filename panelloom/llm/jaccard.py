@@ -270,7 +270,7 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")
     ).where("doc_id IS NOT NULL")
-    fragments = fragments or 2 * partitions(rows)
+    fragments = fragments or 4 * partitions(rows)
     packed = rows.mapInArrow(shingle_task(words, fragments), PACKED)
     shared, shared_path = stage(packed.groupBy("frag").applyInArrow(share_task(fragments), PACKED), "shared")
     members = shared.where("docs").select("keys").mapInArrow(unpack_docs, "doc_id long, n_shingles long, cls long")

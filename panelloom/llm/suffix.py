@@ -530,7 +530,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     by it as first read; doc_id must be unique for spans to be exact, rows with a null doc_id
     are left out. Other columns are ignored; an empty table gives an empty result.
     """
-    fragments = 2 * partitions(docs)
+    fragments = 4 * partitions(docs)
     blocks = fragments
     rows = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"),
