@@ -244,15 +244,23 @@ def unpack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], ["doc_id", "n_shingles", "cls"])
 
 
-def verified(pairs: DataFrame, segments: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, na, nb) that reach the threshold: partial overlaps summed per pair."""
+def verified(pairs: DataFrame, segments: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, str]:
+    """Pairs (a, b, na, nb) that reach the threshold: partial overlaps summed per pair.
+
+    The candidates are written first: Spark then knows their size and moves the segments
+    only where the candidates are too many to be sent to them.
+    """
     top, bottom = threshold
+    pairs, path = stage(pairs, "pairs")
     left = segments.select(F.col("cls").alias("a"), F.col("segments").alias("x"))
     right = segments.select(F.col("cls").alias("b"), F.col("segments").alias("y"))
     partial = F.zip_with("x", "y", lambda x, y: F.size(F.array_intersect(x, y)))
     total = pairs.join(left, "a").join(right, "b").select(
         "a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, v: s + v).alias("both"))
-    return total.where(bottom * F.col("both") >= top * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    close = total.where(bottom * F.col("both") >= top * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    links, links_path = stage(close, "links")
+    discard(pairs.sparkSession, path)
+    return links, links_path
 
 
 def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD,
@@ -298,7 +306,7 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
     # First one partner per set, then one for each shared shingle, then all that is left.
     pivots = tokens.groupBy("token").agg(F.min(F.struct(*partner)).alias("p")).select("token", "p.*")
     one = paired(tokens, pivots, "a <> cls").groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("p")).select("p.*", "b", "nb")
-    links, links_path = stage(verified(one, segments, threshold), "links")
+    links, links_path = verified(one, segments, threshold)
     paths = [shared_path, alive_path, tokens_path, links_path]
     for turn in range(STARS + 1):
         groups = components(links)
@@ -314,7 +322,7 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
             draw = F.xxhash64(F.lit(turn), "token", "a")
             pivots = others.groupBy("token").agg(F.min(F.struct("other", draw, "a", "na", "la")).alias("p"))
             pairs = paired(labelled, pivots.select("token", "p.other", "p.a", "p.na", "p.la"), "root <> other")
-        more, more_path = stage(verified(pairs, segments, threshold), "links")
+        more, more_path = verified(pairs, segments, threshold)
         paths.append(more_path)
         links = links.union(more)
     groups = components(links)
