@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from panelloom.session import staging_path
+from panelloom.session import side, staging_path
 
 # Functions sent to tasks travel by value, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -192,3 +193,51 @@ def components(edges: DataFrame) -> DataFrame:
         current, path = following, following_path
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+# Lower-cases A-Z and leaves every other byte of UTF-8 as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the maximal runs of bytes with ``inside[byte]``; none crosses rows.
+
+    ``offsets`` cuts ``data`` into rows, as of an Arrow column.
+    """
+    n = len(data)
+    if n == 0:
+        nothing = np.empty(0, np.int64)
+        return nothing, nothing, nothing
+    held = inside[data]
+    fresh = held.copy()
+    fresh[1:] &= ~held[:-1]
+    cut = offsets[(offsets > 0) & (offsets < n)]
+    fresh[cut] = held[cut]
+    last = held.copy()
+    last[:-1] &= ~held[1:]
+    last[cut - 1] = held[cut - 1]
+    start, end = np.flatnonzero(fresh), np.flatnonzero(last) + 1
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], number: str) -> tuple[DataFrame, str]:
+    """Every row with its place, from 0 without gaps, in its group; and the staged path.
+
+    Rows are dealt by ranges of (group, order), so neither a group nor a run of ties has to
+    fit a task; rows equal in all that are told apart by their place in the input, which must
+    therefore be a staged table or a scan. One range is numbered as it is written; the ranges
+    of a group are then added up from one row per (range, group).
+    """
+    spark = df.sparkSession
+    keys = [*[F.col(c) for c in by], *order, F.col("_row")]
+    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys)
+    placed = dealt.sortWithinPartitions(*keys).drop("_row").withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    placed, path = stage(placed, number)
+    sums = placed.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*by, F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = placed.join(side(sums), [*by, "_range"])
+    place = F.col("_at") - F.col("_first") + F.col("_before")
+    return joined.withColumn(number, place).drop("_at", "_range", "_first", "_before"), path

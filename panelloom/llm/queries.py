@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, decontaminate, html_text, jaccard, langid, suffix, toxicity, url_tree, windows
+from . import (
+    bpe, collocations, cover_tree, decontaminate, html_text, jaccard, langid, resample, sharding, suffix, toxicity,
+    url_tree, windows,
+)
 from .common import read
+from .sql import COLLOCATIONS_SQL, RESAMPLE_SQL, SHARDS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
@@ -74,11 +78,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_bpe, op2_url_filter, op3_ngram_join, op4_html_text, op5_suffix_dedup, op6_decontaminate,
-        op7_compact_windows, op8_cover_tree, op9_language_id, op10_toxicity,
+        op7_compact_windows, op8_cover_tree, op9_language_id, op10_toxicity, op11_importance_resample,
+        op12_rendezvous_shards, op13_collocations,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_importance_resample": RESAMPLE_SQL,
+    "op12_rendezvous_shards": SHARDS_SQL,
+    "op13_collocations": COLLOCATIONS_SQL,
+}
