@@ -170,3 +170,108 @@ def ridge_sql(source: str, target: str, y: str, alpha, group: str = "", intercep
 {target}_coef AS (SELECT *, (r1 * m22 - r2 * m12) / (m11 * m22 - m12 * m12) AS b1,
   (r2 * m11 - r1 * m12) / (m11 * m22 - m12 * m12) AS b2 FROM {target}_mid),
 {target} AS (SELECT {g}n, {c} AS intercept, b1, b2 FROM {target}_coef)"""
+
+
+def trees_sql(
+    source: str, target: str, y: str, rounds: int, depth: int, bins: int, eta: float, lam: float, mcw: float,
+    gamma: float = 0.0, start: float = 0.0, x=("x1", "x2"), train: str = "TRUE", n_classes: int = 0,
+) -> str:
+    """CTEs for histogram-boosted trees fitted on the rows of ``source`` where ``train`` holds and
+    ``y`` is known. ``target`` is ``source`` with ``score0..`` (one per class, or one), ``target_nodes``
+    has the nodes of all trees. Squared loss, or softmax with ``n_classes``."""
+    t, k_all = target, max(n_classes, 1)
+    cuts = " UNION ALL ".join(
+        f"""SELECT {f} AS f, c, row_number() OVER (ORDER BY c) - 1 AS j FROM (SELECT DISTINCT
+      unnest(quantile_cont({c}, [{', '.join(repr(i / bins) for i in range(1, bins))}])) AS c FROM {t}_id WHERE fit)"""
+        for f, c in enumerate(x)
+    )
+    cells = " UNION ALL ".join(
+        f"""SELECT id, {f} AS f, CASE WHEN {c} IS NULL THEN -1 ELSE (SELECT count(*) FROM {t}_cut q
+      WHERE q.f = {f} AND q.c < {c}) END AS b FROM {t}_id""" for f, c in enumerate(x)
+    )
+    scores = ", ".join(f"CAST({start} AS DOUBLE) AS score{k}" for k in range(k_all))
+    parts = [
+        f"{t}_id AS MATERIALIZED (SELECT *, row_number() OVER () AS id, ({train}) AND {y} IS NOT NULL AS fit FROM {source})",
+        f"{t}_cut AS MATERIALIZED ({cuts})",
+        f"{t}_bin AS MATERIALIZED ({cells})",
+        f"{t}_place AS MATERIALIZED (SELECT f, j, c FROM {t}_cut UNION ALL "
+        f"SELECT f, count(*), CAST('inf' AS DOUBLE) FROM {t}_cut GROUP BY 1)",
+        f"{t}_s0 AS MATERIALIZED (SELECT id, fit, {y} AS y, {scores} FROM {t}_id)",
+    ]
+    nodes = []
+    for r in range(rounds):
+        for k in range(k_all):
+            if n_classes:
+                total = " + ".join(f"exp(score{i})" for i in range(k_all))
+                p = f"exp(score{k}) / ({total})"
+                g, h = f"{p} - CAST(y = {k} AS INTEGER)", f"greatest(2 * {p} * (1 - {p}), 1e-16)"
+            else:
+                g, h = "score0 - y", "1.0"
+            at = f"{t}_r{r}k{k}"
+            parts.append(
+                f"{at}d0 AS MATERIALIZED (SELECT id, fit, {g} AS g, CAST({h} AS DOUBLE) AS h, 0 AS node FROM {t}_s{r})"
+            )
+            for d in range(depth):
+                now = f"{at}d{d}"
+                parts += [
+                    f"""{now}h AS MATERIALIZED (SELECT node, f, b, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {now} JOIN {t}_bin USING (id)
+      WHERE fit AND node >= {2**d - 1} GROUP BY ALL)""",
+                    f"""{now}c AS (SELECT h.node, h.f, p.j, p.c, side, sum(h.g) AS ga, sum(h.h) AS ha, sum(h.n) AS na,
+        sum(h.g) FILTER (b >= 0 AND b <= j OR b < 0 AND side = 1) AS gl, sum(h.h) FILTER (b >= 0 AND b <= j OR b < 0 AND side = 1) AS hl,
+        sum(h.n) FILTER (b >= 0 AND b <= j OR b < 0 AND side = 1) AS nl
+      FROM {now}h h JOIN {t}_place p ON p.f = h.f, range(2) AS o(side) WHERE NOT (isinf(p.c) AND side = 1) GROUP BY ALL)""",
+                    f"""{now}g AS MATERIALIZED (SELECT *, gl * gl / (hl + {lam}) + (ga - gl) * (ga - gl) / (ha - hl + {lam}) - ga * ga / (ha + {lam}) AS gain
+      FROM {now}c WHERE nl > 0 AND nl < na AND hl >= {mcw} AND ha - hl >= {mcw})""",
+                    f"""{now}b AS MATERIALIZED (SELECT * FROM (SELECT *, max(gain) OVER (PARTITION BY node) AS top FROM {now}g)
+      WHERE gain >= top - 1e-9 * abs(top) AND top > 1e-6 AND top >= {gamma}
+      QUALIFY row_number() OVER (PARTITION BY node ORDER BY f, side, j) = 1)""",
+                    f"""{at}d{d + 1} AS MATERIALIZED (SELECT s.id, fit, g, h, CASE WHEN q.node IS NULL THEN s.node
+        WHEN CASE WHEN b < 0 THEN side = 1 ELSE b <= j END THEN 2 * s.node + 1 ELSE 2 * s.node + 2 END AS node
+      FROM {now} s LEFT JOIN {now}b q ON q.node = s.node LEFT JOIN {t}_bin x ON x.id = s.id AND x.f = q.f)""",
+                ]
+                nodes.append(
+                    f"SELECT {r} AS round, {k} AS output, node, f, c AS cut, side = 1 AS missing_left, gain, CAST(na AS DOUBLE) AS cover,"
+                    f" CAST(NULL AS DOUBLE) AS value FROM {now}b"
+                )
+            parts.append(
+                f"""{at}l AS MATERIALIZED (SELECT node, -{eta} * sum(g) FILTER (fit) / (sum(h) FILTER (fit) + {lam}) AS value, count(*) FILTER (fit) AS n
+      FROM {at}d{depth} GROUP BY 1)"""
+            )
+            nodes.append(
+                f"SELECT {r}, {k}, node, CAST(NULL AS INTEGER), NULL, NULL, NULL, CAST(n AS DOUBLE), value FROM {at}l WHERE n > 0"
+            )
+        joins = " ".join(
+            f"JOIN {t}_r{r}k{k}d{depth} d{k} ON d{k}.id = s.id JOIN {t}_r{r}k{k}l l{k} ON l{k}.node = d{k}.node" for k in range(k_all)
+        )
+        added = ", ".join(f"s.score{k} + coalesce(l{k}.value, 0) AS score{k}" for k in range(k_all))
+        parts.append(f"{t}_s{r + 1} AS MATERIALIZED (SELECT s.id, s.fit, s.y, {added} FROM {t}_s{r} s {joins})")
+    named = ", ".join(f"'{c}'" for c in x)
+    parts.append(
+        f"{t}_nodes AS (SELECT round, output, node, [{named}][f + 1] AS factor, cut, missing_left, value, gain, cover "
+        f"FROM ({' UNION ALL '.join(nodes)}))"
+    )
+    last = ", ".join(f"score{k}" for k in range(k_all))
+    parts.append(f"{t} AS (SELECT i.* EXCLUDE (fit), {last} FROM {t}_id i JOIN {t}_s{rounds} USING (id))")
+    return ",\n".join(parts)
+
+
+def newton_sql(source: str, target: str, hit: str, steps: int, c: float | None, x=("x1", "x2")) -> str:
+    """CTEs for ``steps`` Newton steps of a two-factor logistic regression of the condition ``hit``
+    from zero; ``target`` has w0, w1 and w2."""
+    a, b = x
+    pen = 0.0 if c is None else 1.0 / c
+    parts = [f"{target}_w0 AS (SELECT CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2)"]
+    for i in range(steps):
+        parts.append(f"""{target}_p{i} AS (SELECT {a} AS x, {b} AS z, CAST({hit} AS INTEGER) AS y, 1 / (1 + exp(-(w0 + w1 * {a} + w2 * {b}))) AS p
+  FROM {source}, {target}_w{i} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+{target}_m{i} AS (SELECT sum(p - y) AS g0, sum((p - y) * x) + {pen} * any_value(w1) AS g1, sum((p - y) * z) + {pen} * any_value(w2) AS g2,
+    sum(p * (1 - p)) AS a, sum(p * (1 - p) * x) AS b, sum(p * (1 - p) * z) AS c, sum(p * (1 - p) * x * x) + {pen} AS d,
+    sum(p * (1 - p) * x * z) AS e, sum(p * (1 - p) * z * z) + {pen} AS f, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2
+  FROM {target}_p{i}, {target}_w{i}),
+{target}_d{i} AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM {target}_m{i}),
+{target}_w{i + 1} AS (SELECT
+    w0 - ((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / det AS w0,
+    w1 - ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / det AS w1,
+    w2 - ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det AS w2 FROM {target}_d{i})""")
+    parts.append(f"{target} AS (SELECT * FROM {target}_w{steps})")
+    return ",\n".join(parts)

@@ -187,7 +187,7 @@ def _(spark, sf_dir):
 
 def _class_score(spark, sf_dir):
     train, _ = class_sides(spark, sf_dir)
-    fitted = learners.logistic(X, "fq_ret_cls").fit(train)
+    fitted = learners.logistic(X, "fq_ret_cls", 3).fit(train)
 
     def score(df):
         out = learners.class_probabilities(fitted.transform(df))

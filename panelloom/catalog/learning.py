@@ -14,7 +14,7 @@ from ..operators.splits import in_periods, train_test_split_by_date
 from ..plans.panels import supplier_panel
 from ..session import staging_path
 from .base import (
-    Register, SUPPLIERS_SQL, bin_sql, returns_sql, ridge_sql, spread_sql,
+    Register, SUPPLIERS_SQL, bin_sql, newton_sql, returns_sql, ridge_sql, spread_sql, trees_sql,
 )
 from .joins import PERIODS, _periods_sql
 
@@ -85,31 +85,101 @@ def _(spark, sf_dir):
     return calculate_diff_ir(cum, "month", "pred_rank", 4, 0, "fm_ret")
 
 
+CLASSED_PANEL_SQL = f"""{SUPPLIERS_SQL.replace("panel AS", "panel0 AS")},
+labelled AS (SELECT * FROM panel0 WHERE fq_ret IS NOT NULL), {bin_sql("labelled", "panel", {"cls": ("fq_ret", 3)}, "month", "sec")},
+{TRAIN_SQL}, {TEST_SQL}"""
+STEPS = 4  # Newton steps from zero, on both sides of the comparison
+
+
+def rest_sql(c, source="train", suffix=""):
+    """The three models of a one-vs-rest scheme."""
+    return ", ".join(newton_sql(source, f"w{k}{suffix}", f"cls = {k}", STEPS, c) for k in range(3))
+
+
+MARGINS_SQL = ", ".join(f"w{k}.w0 + w{k}.w1 * x1 + w{k}.w2 * x2 AS m{k}" for k in range(3))
+WINNER_SQL = "CASE WHEN m0 >= m1 AND m0 >= m2 THEN 0.0 WHEN m1 >= m2 THEN 1.0 ELSE 2.0 END"
+
+
 @ENTRIES.add("m3_logistic_multinomial")
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)
-    _, pred = learners.predict(learners.logistic(X, "fq_ret_cls"), train, test, KEY)
+    _, pred = learners.predict(learners.logistic(X, "fq_ret_cls", 3), train, test, KEY)
     return pred
 
 
-@ENTRIES.add("m3_logistic_one_vs_rest")
+@ENTRIES.add(
+    "m3_logistic_one_vs_rest",
+    f"""WITH {CLASSED_PANEL_SQL}, {rest_sql(None)}, m AS (SELECT month, sec, {MARGINS_SQL} FROM test, w0, w1, w2)
+    SELECT month, sec, {WINNER_SQL} AS pred FROM m""",
+    ["pred"],
+)
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)
-    _, pred = learners.predict(learners.logistic_one_vs_rest(X, "fq_ret_cls", 3), train, test, KEY)
-    return pred
+    model = learners.logistic_one_vs_rest(X, "fq_ret_cls", 3, max_iter=STEPS)
+    return learners.predict(model, train, test, KEY)[1]
 
 
-@ENTRIES.add("m4_boosted_trees_regression")
+@ENTRIES.add(
+    "m3_logistic_coefficients",
+    f"""WITH {CLASSED_PANEL_SQL}, {rest_sql(0.05)}, w AS ({' UNION ALL '.join(f'SELECT {k} AS class, * FROM w{k}' for k in range(3))})
+    SELECT class, 'intercept' AS term, w0 AS value FROM w UNION ALL SELECT class, 'x1', w1 FROM w UNION ALL SELECT class, 'x2', w2 FROM w""",
+    ["value"], digits=7,
+)
 def _(spark, sf_dir):
-    train, test = sides(spark, sf_dir)
-    model = learners.gbt_regressor(X, "fq_ret", maxDepth=3, maxIter=10, stepSize=0.1, subsamplingRate=0.8, seed=1)
+    train, _ = class_sides(spark, sf_dir)
+    return learners.logistic_one_vs_rest(X, "fq_ret_cls", 3, c=0.05, max_iter=STEPS).fit(train).coefficients(spark)
+
+
+# Settings of the tree queries, by the learners' names and for ``trees_sql``.
+TREES = {"n_estimators": 3, "eta": 0.3, "min_child_weight": 20.0, "max_bins": 16}
+TREES_SQL = {"rounds": 3, "bins": 16, "eta": 0.3, "lam": 1.0, "mcw": 20.0}
+GAPS_SQL = """gaps AS (SELECT * REPLACE (CASE WHEN sec % 7 = 0 THEN NULL ELSE x1 END AS x1,
+  CASE WHEN sec % 5 = 1 THEN NULL ELSE x2 END AS x2) FROM panel)"""
+
+
+def with_gaps(panel):
+    """The panel with some factors missing."""
+    return panel.withColumns({
+        "x1": F.when(F.col("sec") % 7 != 0, F.col("x1")), "x2": F.when(F.col("sec") % 5 != 1, F.col("x2")),
+    })
+
+
+@ENTRIES.add(
+    "m4_boosted_trees_regression",
+    f"""WITH {SUPPLIERS_SQL}, {GAPS_SQL}, {trees_sql('gaps', 'fit', 'fq_ret', depth=3, train=f"month < DATE '{BEGIN}'", **TREES_SQL)}
+    SELECT month, sec, score0 AS pred FROM fit WHERE month BETWEEN DATE '{BEGIN}' AND DATE '{END}'""",
+    ["pred"],
+)
+def _(spark, sf_dir):
+    panel = with_gaps(supplier_panel(spark, sf_dir))
+    train, test = train_test_split_by_date(panel, "month", BEGIN, END)
+    model = learners.boosted_trees(X, "fq_ret", key=KEY, max_depth=3, **TREES)
     return learners.predict(model, train, test, KEY)[1]
 
 
-@ENTRIES.add("m4_boosted_trees_classification")
+@ENTRIES.add(
+    "m4_first_tree_nodes",
+    f"""WITH {SUPPLIERS_SQL}, {GAPS_SQL}, {trees_sql('gaps', 'fit', 'fq_ret', depth=2, **{**TREES_SQL, 'rounds': 1})}
+    SELECT * FROM fit_nodes""",
+    ["cut", "value", "gain", "cover"], digits=7,
+)
+def _(spark, sf_dir):
+    model = learners.boosted_trees(X, "fq_ret", key=KEY, max_depth=2, **{**TREES, "n_estimators": 1})
+    return model.fit(with_gaps(supplier_panel(spark, sf_dir))).node_table(spark)
+
+
+@ENTRIES.add(
+    "m4_boosted_trees_classification",
+    f"""WITH {CLASSED_PANEL_SQL}, both_ AS (SELECT *, TRUE AS learn FROM train UNION ALL SELECT *, FALSE FROM test),
+    {trees_sql('both_', 'fit', 'cls', depth=2, train='learn', n_classes=3, **{**TREES_SQL, 'rounds': 2, 'mcw': 5.0})},
+    m AS (SELECT month, sec, score0 AS m0, score1 AS m1, score2 AS m2 FROM fit WHERE NOT learn)
+    SELECT month, sec, {WINNER_SQL} AS pred FROM m""",
+    ["pred"],
+)
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)
-    model = learners.gbt_classifier(X, "fq_ret_cls", 3, maxDepth=3, maxIter=5, seed=1)
+    settings = {**TREES, "n_estimators": 2, "min_child_weight": 5.0}
+    model = learners.boosted_classifier(X, "fq_ret_cls", 3, key=KEY, max_depth=2, **settings)
     return learners.predict(model, train, test, KEY)[1]
 
 
@@ -302,11 +372,36 @@ def _(spark, sf_dir):
     return model.transform(test).select(*KEY, "pred")
 
 
-@ENTRIES.add("s7_model_save_and_load")
+@ENTRIES.add(
+    "m16_weighted_median_leaves",
+    f"""WITH {SUPPLIERS_SQL}, w AS (SELECT fq_ret AS r, 1 / (abs(fq_ret) + 1) AS w, x1, row_number() OVER () AS id FROM panel WHERE fq_ret IS NOT NULL),
+    cut AS (SELECT DISTINCT unnest(quantile_cont(x1, [{', '.join(repr(i / 8) for i in range(1, 8))}])) AS c FROM w),
+    side AS (SELECT c, count(*) FILTER (x1 <= c) AS n, -sum(w * sign(r)) AS ga, sum(w / greatest(abs(r), 0.1)) AS ha,
+      -sum(w * sign(r)) FILTER (x1 <= c) AS gl, sum(w / greatest(abs(r), 0.1)) FILTER (x1 <= c) AS hl FROM w, cut GROUP BY 1),
+    won AS (SELECT c, gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha AS gain FROM side),
+    best AS (SELECT c FROM won WHERE gain >= (SELECT max(gain) FROM won) * (1 - 1e-9) ORDER BY c LIMIT 1),
+    leaf AS (SELECT CASE WHEN x1 <= c THEN 1 ELSE 2 END AS node, r, w FROM w, best),
+    run AS (SELECT *, sum(w) OVER (PARTITION BY node ORDER BY r) AS upto, sum(w) OVER (PARTITION BY node) AS whole FROM leaf)
+    SELECT node, min(r) FILTER (upto >= whole / 2) AS value, CAST(count(*) AS DOUBLE) AS cover FROM run GROUP BY 1""",
+    ["value", "cover"],
+)
+def _(spark, sf_dir):
+    panel = supplier_panel(spark, sf_dir).where("fq_ret is not null")
+    model = fit_boosted(panel, ["x1"], "fq_ret", "log_abs", rounds=1, eta=1.0, max_depth=1, max_bins=8)
+    return model.node_table(spark).where("value IS NOT NULL").select("node", "value", "cover")
+
+
+@ENTRIES.add(
+    "s7_model_save_and_load",
+    f"""WITH {SUPPLIERS_SQL}, {trees_sql('panel', 'fit', 'fq_ret', depth=2, train=f"month < DATE '{BEGIN}'", **{**TREES_SQL, 'rounds': 2})}
+    SELECT month, sec, score0 AS pred FROM fit WHERE fq_ret IS NOT NULL AND month BETWEEN DATE '{BEGIN}' AND DATE '{END}'""",
+    ["pred"],
+)
 def _(spark, sf_dir):
     train, test = sides(spark, sf_dir)
     path = staging_path(spark, "model")
-    learners.save_model(learners.gbt_regressor(X, "fq_ret", maxDepth=2, maxIter=3, seed=1).fit(train), path)
+    model = learners.boosted_trees(X, "fq_ret", key=KEY, max_depth=2, **{**TREES, "n_estimators": 2})
+    learners.save_model(model.fit(train), path)
     return learners.load_model(path).transform(test).select(*KEY, "pred")
 
 

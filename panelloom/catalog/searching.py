@@ -13,7 +13,7 @@ from ..operators.returns import calculate_diff_return, calculate_return, latest_
 from ..operators.splits import month_span, val_dates
 from ..plans.panels import supplier_panel
 from .base import Register, SUPPLIERS_SQL, bin_sql, returns_sql, ridge_sql, spread_sql
-from .learning import BOTH_SQL, KEY, STRATEGY, X, both, class_sides, sides
+from .learning import BOTH_SQL, KEY, STRATEGY, TREES, TREES_SQL, X, both, class_sides, sides
 
 ENTRIES = Register()
 ALPHAS = [0.1, 100.0, 10000.0]
@@ -100,10 +100,10 @@ def _(spark, sf_dir):
     folds = val_dates(*month_span(panel, "month"), 2)
 
     def make(params):
-        return learners.gbt_regressor(X, "fq_ret", maxIter=3, seed=1, **params)
+        return learners.boosted_trees(X, "fq_ret", key=KEY, **TREES, **params)
 
     long = crossval.estimator_cv(
-        panel, "month", KEY, "fq_ret", make, [{"maxDepth": 2}, {"maxDepth": 3}], folds, "reg", **RULE
+        panel, "month", KEY, "fq_ret", make, [{"max_depth": 1}, {"max_depth": 2}], folds, "reg", **RULE
     )
     return crossval.summarize_cv(long).drop("values")
 

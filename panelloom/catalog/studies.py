@@ -15,7 +15,7 @@ from ..session import staging_path
 from .base import MARKET_SQL, Register, SUPPLIERS_SQL, bin_sql, returns_sql, ridge_sql, spread_sql
 from .cleaning import SUPPLIER_GAPS_SQL, supplier_gaps
 from .joins import PAIRS, PARTS, PERIODS, _periods_sql, binned
-from .learning import BEGIN, BOTH_SQL, END, KEY, PRED_SQL, X, classed
+from .learning import BEGIN, BOTH_SQL, E1_SQL, E3_SQL, END, KEY, PRED_SQL, TREES, TREES_SQL, X, classed
 from .searching import CV_SQL, ridge_search
 
 ENTRIES = Register()
@@ -66,9 +66,9 @@ def _(spark, sf_dir):
 @ENTRIES.add("n1_tree_study_scores")
 def _(spark, sf_dir):
     def make(params):
-        return learners.gbt_regressor(X, "fq_ret", maxIter=3, seed=1, **params)
+        return learners.boosted_trees(X, "fq_ret", key=KEY, **TREES, **params)
 
-    config = ridge_config(make=make, param_grid={"maxDepth": [2]}, k=2)
+    config = ridge_config(make=make, param_grid={"max_depth": [2]}, k=2)
     panel = supplier_panel(spark, sf_dir).where("fq_ret is not null")
     return run_study(spark, config, panel, staging_path(spark, "study"), "trees")["model_evaluation"]
 

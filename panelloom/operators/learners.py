@@ -1,29 +1,59 @@
-"""Spark ML models behind one calling convention, prediction and walk-forward."""
+"""Models behind one calling convention, prediction and walk-forward."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import logistic as newton, trees
 from ..session import hold, release
+from .logistic import Logistic
 from .splits import train_test_split_by_date
+from .trees import BoostedTrees, TreeModel, TreeParams
 
 
 def _assemble(features: Sequence[str], output: str = "_features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="skip")
+    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="keep")
+
+
+class WholeRows:
+    """Fits a Spark ML estimator on rows that have all factors and scores every row.
+
+    A row without a factor stays and has no prediction.
+    """
+
+    def __init__(self, estimator: Estimator, features: Sequence[str], label: str):
+        self.estimator, self.features, self.label = estimator, list(features), label
+
+    def fit(self, df: DataFrame) -> "WholeModel":
+        whole = df.where(has_all([*self.features, self.label]))
+        return WholeModel(self.estimator.fit(whole), self.features)
+
+
+class WholeModel:
+    def __init__(self, model: Model, features: Sequence[str]):
+        self.model, self.features = model, list(features)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        scored = self.model.transform(df)
+        return scored.withColumn("pred", F.when(has_all(self.features), F.col("pred")))
+
+
+def has_all(columns: Sequence[str]) -> Column:
+    """Neither null nor NaN in any of the columns."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return out
 
 
 def _finish(drop: Sequence[str] = ("_features",)) -> SQLTransformer:
@@ -34,7 +64,7 @@ def _finish(drop: Sequence[str] = ("_features",)) -> SQLTransformer:
 
 def linear_regression(
     features, label, alpha=0.0, n_rows=1, label_std=1.0, fit_intercept=True
-) -> Pipeline:
+) -> WholeRows:
     """Ridge with an absolute penalty ``alpha``.
 
     Spark penalises per row and in units of the label's deviation, so both are needed
@@ -45,14 +75,20 @@ def linear_regression(
         regParam=alpha * label_std / n_rows,
         standardization=False, fitIntercept=fit_intercept, solver="normal",
     )
-    return Pipeline(stages=[_assemble(features), model, _finish()])
+    return WholeRows(Pipeline(stages=[_assemble(features), model, _finish()]), features, label)
+
+
+def boosted_trees(features, label, objective="mse", n_classes=1, key=(), **params) -> BoostedTrees:
+    """Histogram trees by the reference's parameter names: n_estimators, eta (learning_rate),
+    max_depth, min_child_weight, gamma, reg_lambda, subsample, and max_bins, start, seed."""
+    names = {"n_estimators": "rounds", "learning_rate": "eta"}
+    own = {names.get(k, k): v for k, v in params.items()}
+    return BoostedTrees(features, label, TreeParams(objective, n_classes=n_classes, **own), key)
 
 
-def gbt_regressor(features, label, **params) -> Pipeline:
-    """Boosted trees: maxDepth, stepSize, maxIter, minInstancesPerNode, minInfoGain,
-    subsamplingRate."""
-    model = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="pred", **params)
-    return Pipeline(stages=[_assemble(features), model, _finish()])
+def boosted_classifier(features, label, n_classes, key=(), **params) -> BoostedTrees:
+    """One tree per class and round on the softmax loss."""
+    return boosted_trees(features, label, "softmax", n_classes, key, **params)
 
 
 class OneVsRestScores:
@@ -93,62 +129,47 @@ class OneVsRestScores:
 BINARY = {"featuresCol": "_features", "labelCol": "_is", "predictionCol": "_guess"}
 
 
-def logistic_one_vs_rest(
-    features, label, n_classes, c: float | None = None, n_rows=1
-) -> OneVsRestScores:
-    reg = 0.0 if c is None else 1.0 / (c * n_rows)
-    base = LogisticRegression(regParam=reg, family="binomial", **BINARY)
-    return OneVsRestScores([_assemble(features)], base, label, n_classes)
+def logistic_one_vs_rest(features, label, n_classes=None, c: float | None = None, **rest) -> Logistic:
+    return Logistic(features, label, n_classes, c, "ovr", **rest)
 
 
-def logistic(features, label, family="multinomial", c: float | None = None, n_rows=1) -> Pipeline:
-    """Multinomial (or another family Spark has), with penalty ``1 / (n C)`` or none."""
-    reg = 0.0 if c is None else 1.0 / (c * n_rows)
-    own = {"featuresCol": "_features", "labelCol": label, "predictionCol": "pred"}
-    model = LogisticRegression(
-        regParam=reg, family=family, probabilityCol="_probability", rawPredictionCol="_raw", **own
-    )
-    return Pipeline(stages=[_assemble(features), model, _finish(("_features", "_raw"))])
-
+def logistic(features, label, n_classes=None, c: float | None = None, **rest) -> Logistic:
+    """Multinomial, with the penalty ``|w|^2 / (2 c)`` on the summed loss, or none."""
+    return Logistic(features, label, n_classes, c, "multinomial", **rest)
 
-def gbt_classifier(features, label, n_classes, **params) -> OneVsRestScores:
-    """Boosted trees for several classes, one against the rest each."""
-    base = GBTClassifier(**BINARY, **params)
-    return OneVsRestScores([_assemble(features)], base, label, n_classes)
 
-
-def polynomial_svc(features, label, n_classes, degree=3, **params) -> OneVsRestScores:
+def polynomial_svc(features, label, n_classes, degree=3, **params) -> WholeRows:
     """Linear machine on polynomial features, one class against the rest each."""
     prepare = [
         _assemble(features, "_raw_features"),
         PolynomialExpansion(degree=degree, inputCol="_raw_features", outputCol="_poly"),
         StandardScaler(inputCol="_poly", outputCol="_features", withMean=True),
     ]
-    return OneVsRestScores(prepare, LinearSVC(**BINARY, **params), label, n_classes)
+    return WholeRows(OneVsRestScores(prepare, LinearSVC(**BINARY, **params), label, n_classes), features, label)
 
 
-def net(features, label, layers, seed, max_iter=50) -> Pipeline:
+def net(features, label, layers, seed, max_iter=50) -> WholeRows:
     """One small dense net with softmax outputs."""
     model = MultilayerPerceptronClassifier(
         featuresCol="_features", labelCol=label, predictionCol="pred", layers=list(layers), seed=seed,
         maxIter=max_iter, probabilityCol="_probability", rawPredictionCol="_raw",
     )
-    return Pipeline(
-        stages=[
-            _assemble(features, "_raw_features"),
-            StandardScaler(inputCol="_raw_features", outputCol="_features", withMean=True),
-            model,
-            _finish(("_features", "_raw_features", "_raw")),
-        ]
-    )
+    stages = [
+        _assemble(features, "_raw_features"),
+        StandardScaler(inputCol="_raw_features", outputCol="_features", withMean=True),
+        model,
+        _finish(("_features", "_raw_features", "_raw")),
+    ]
+    return WholeRows(Pipeline(stages=stages), features, label)
 
 
 class NetEnsemble:
     """Several seeded nets: class probabilities are averaged, the largest one wins."""
 
     def __init__(self, features, label, layers, n_nets=3, max_iter=50):
+        self.features = list(features)
         self.parts = [net(features, label, layers, seed, max_iter) for seed in range(n_nets)]
-        self.models: list[PipelineModel] = []
+        self.models: list[WholeModel] = []
 
     def fit(self, df: DataFrame) -> "NetEnsemble":
         self.models = [p.fit(df) for p in self.parts]
@@ -165,7 +186,7 @@ class NetEnsemble:
         for i in range(1, len(self.models)):
             mean = F.zip_with(mean, F.col(f"_p{i}"), lambda a, b: a + b)
         out = out.withColumn("probability", F.transform(mean, lambda v: v / whole))
-        best = F.array_position("probability", F.array_max("probability")) - 1
+        best = F.when(has_all(self.features), F.array_position("probability", F.array_max("probability")) - 1)
         return out.withColumn("pred", best.cast("double")).drop(*[f"_p{i}" for i in range(len(self.models))])
 
 
@@ -196,6 +217,8 @@ def predict(
         return tuple(fitted.transform(d).select(*columns, "pred") for d in (train, test))
     # The test months are a calendar of few entries.
     months = [r[0] for r in test.select(date).distinct().orderBy(date).collect()]
+    if isinstance(model, (BoostedTrees, Logistic)):
+        return _walk_together(model, train, test, columns, date, months)
     parts = []
     for month in months:
         grown = train.unionByName(test.where(F.col(date) < F.lit(month)))
@@ -205,6 +228,33 @@ def predict(
     return fitted.transform(grown).select(*columns, "pred"), reduce(DataFrame.unionByName, parts)
 
 
+def _walk_together(model, train, test, columns, date, months) -> tuple[DataFrame, DataFrame]:
+    """The same with all months' models fitted in the same passes over the panel.
+
+    Every model has the train rows (month -1 here) and the test rows before its month. Cuts of
+    factors are those of the train rows, which no model may look beyond.
+    """
+    names = list(dict.fromkeys([*columns, *model.features, model.label, *getattr(model, "key", ()), date]))
+    both = train.select(*names, F.lit(-1).alias("_when")).unionByName(
+        test.select(*names, trees.month_number(date).alias("_when"))
+    )
+    numbers = [m.year * 12 + m.month - 1 for m in months]
+    sets = [frozenset([-1, *[n for n in numbers if n < now]]) for now in numbers]
+    together = {"when": F.col("_when")}
+    if isinstance(model, BoostedTrees):
+        fits = trees.fit_together(both, [model] * len(sets), sets, cuts_from=F.col("_when") == -1, **together)
+        at = F.array_position(F.array(*[F.lit(n) for n in numbers]), trees.month_number(date).cast("int")) - 1
+        out = test.withColumn("pred", trees.prediction_of(fits, model.features, at))
+    else:
+        fits = newton.fit_together(both, [model] * len(sets), sets, **together)
+        pred = F.lit(None).cast("double")
+        for n, fitted in zip(numbers, fits):
+            pred = F.when(trees.month_number(date) == n, fitted.pred_column()).otherwise(pred)
+        out = test.withColumn("pred", pred)
+    grown = train.select(*names).unionByName(test.where(F.col(date) < F.lit(months[-1])).select(*names))
+    return fits[-1].transform(grown).select(*columns, "pred"), out.select(*columns, "pred")
+
+
 def sweep_test_periods(
     df: DataFrame,
     date: str,
@@ -219,9 +269,22 @@ def sweep_test_periods(
     return reduce(DataFrame.unionByName, parts)
 
 
-def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(model: Model | TreeModel, path: str, spark: SparkSession | None = None) -> None:
+    """Spark's own models by their writer, trees as a table of nodes."""
+    if isinstance(model, TreeModel):
+        model.save(spark or SparkSession.getActiveSession(), path)
+    else:
+        model = model.model if isinstance(model, WholeModel) else model
+        model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> WholeModel | TreeModel:
+    """A stored model; its ``metadata`` tells of which kind. Rows without a factor are scored
+    by trees and get a null from other models."""
+    spark = SparkSession.getActiveSession()
+    about = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()[0])
+    if about["class"] == trees.CLASS_NAME:
+        return trees.load_trees(spark, path, about)
+    model = PipelineModel.load(path)
+    inputs = [c for s in model.stages if s.hasParam("inputCols") and s.isDefined("inputCols") for c in s.getInputCols()]
+    return WholeModel(model, inputs)

@@ -60,6 +60,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a frame to the shared folder and read it back, columns apart, for many passes."""
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settle_measured(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
     """Settle a frame and return aggregates of what was written.
 
