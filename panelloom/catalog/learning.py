@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LOSSES, gradients
@@ -314,6 +316,28 @@ def _(spark, sf_dir):
     return out.select(*KEY, "pred")
 
 
+def _tree_walk_sql():
+    """A fit per test month, on all rows before it."""
+    months = [f"{y}-{m:02d}-01" for y in (1999,) for m in (1, 5, 9)]
+    fits = ", ".join(
+        trees_sql("walked", f"t{i}", "fq_ret", depth=2, train=f"month < DATE '{m}'", **{**TREES_SQL, "rounds": 2})
+        .replace(f"FROM t{i}_id WHERE fit)", f"FROM walked WHERE fq_ret IS NOT NULL AND month < DATE '{BEGIN}')")
+        for i, m in enumerate(months)
+    )
+    return f"walked AS (SELECT * FROM panel), {fits} " + " UNION ALL ".join(
+        f"SELECT month, sec, score0 AS pred FROM t{i} WHERE month = DATE '{m}'" for i, m in enumerate(months)
+    )
+
+
+@ENTRIES.add("m14_walk_forward_of_trees", f"WITH {SUPPLIERS_SQL}, {_tree_walk_sql()}", ["pred"])
+def _(spark, sf_dir):
+    train, test = train_test_split_by_date(supplier_panel(spark, sf_dir), "month", BEGIN, END)
+    model = learners.boosted_trees(X, "fq_ret", key=KEY, max_depth=2, **{**TREES, "n_estimators": 2})
+    # All test months are learnt from and scored; three of them are compared.
+    _, pred = learners.predict(model, train, test, KEY, "month", expand_window=True)
+    return pred.where(F.col("month").isin([dt.date(1999, m, 1) for m in (1, 5, 9)]))
+
+
 def _sweep_sql():
     parts = []
     for y in (1998, 1999, 2000):

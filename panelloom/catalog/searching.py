@@ -12,7 +12,7 @@ from ..operators.bins import rank_predictions
 from ..operators.returns import calculate_diff_return, calculate_return, latest_row
 from ..operators.splits import month_span, val_dates
 from ..plans.panels import supplier_panel
-from .base import Register, SUPPLIERS_SQL, bin_sql, returns_sql, ridge_sql, spread_sql
+from .base import Register, SUPPLIERS_SQL, bin_sql, returns_sql, ridge_sql, spread_sql, trees_sql
 from .learning import BOTH_SQL, KEY, STRATEGY, TREES, TREES_SQL, X, both, class_sides, sides
 
 ENTRIES = Register()
@@ -94,7 +94,31 @@ def _(spark, sf_dir):
     return wide.drop(*[c for c in wide.columns if c.endswith("_values")])
 
 
-@ENTRIES.add("v2_grid_search_of_trees")
+def _tree_search_sql():
+    """Fold by fold and depth by depth: the trees of the training months score both sides."""
+    fits, parts = [], []
+    for f in range(2):
+        fits.append(f"f{f} AS (SELECT * FROM used WHERE fold = {f} AND partition IS NOT NULL AND fq_ret IS NOT NULL)")
+        for d in (1, 2):
+            own = trees_sql(f"f{f}", f"t{f}_{d}", "fq_ret", depth=d, train="partition = 'train'", **TREES_SQL)
+            # Factors are cut once for all folds.
+            own = own.replace(f"FROM t{f}_{d}_id WHERE fit)", "FROM panel WHERE fq_ret IS NOT NULL)")
+            fits.append(own)
+            parts.append(f"SELECT {d - 1} AS model_id, fold, partition, fq_ret AS y, score0 AS pred FROM t{f}_{d}")
+    folds = FOLDS_SQL.replace("/ CAST(3 AS DOUBLE)", "/ CAST(2 AS DOUBLE)").replace("i = 2", "i = 1").replace("range(3)", "range(2)")
+    span = folds.replace("FROM panel),\nlen", "FROM panel WHERE fq_ret IS NOT NULL),\nlen")
+    return f"""{SUPPLIERS_SQL}, {span}, {', '.join(fits)}, p AS ({' UNION ALL '.join(parts)}),
+    w AS (SELECT model_id, fold, partition, 1 - sum(pow(y - pred, 2)) / (var_pop(y) * count(y)) AS r2,
+      -avg(pow(y - pred, 2)) AS mse, -avg(abs(y - pred)) AS mae,
+      -avg(100 * abs(y - pred) / greatest(abs(y), 0.0000001)) AS mape, -avg(ln(1 + pow(pred - y, 2))) AS mlse FROM p GROUP BY ALL),
+    cv AS (FROM (UNPIVOT w ON r2, mse, mae, mape, mlse INTO NAME metric VALUE value))"""
+
+
+@ENTRIES.add(
+    "v2_grid_search_of_trees",
+    f"""WITH {_tree_search_sql()} SELECT model_id, partition, metric, avg(value) AS mean, stddev_pop(value) AS std FROM cv GROUP BY ALL""",
+    ["mean", "std"], digits=6,
+)
 def _(spark, sf_dir):
     panel = supplier_panel(spark, sf_dir).where("fq_ret is not null")
     folds = val_dates(*month_span(panel, "month"), 2)

@@ -12,7 +12,7 @@ from ..plans.prepare import PrepareConfig, prepare_panel
 from ..plans.scoring import drift_job
 from ..plans.study import StudyConfig, join_predictions, run_study, save_summary
 from ..session import staging_path
-from .base import MARKET_SQL, Register, SUPPLIERS_SQL, bin_sql, returns_sql, ridge_sql, spread_sql
+from .base import MARKET_SQL, Register, SUPPLIERS_SQL, bin_sql, returns_sql, ridge_sql, spread_sql, trees_sql
 from .cleaning import SUPPLIER_GAPS_SQL, supplier_gaps
 from .joins import PAIRS, PARTS, PERIODS, _periods_sql, binned
 from .learning import BEGIN, BOTH_SQL, E1_SQL, E3_SQL, END, KEY, PRED_SQL, TREES, TREES_SQL, X, classed
@@ -63,7 +63,15 @@ def _(spark, sf_dir):
     return run_study(spark, ridge_config(), supplier_panel(spark, sf_dir))["surface"]
 
 
-@ENTRIES.add("n1_tree_study_scores")
+TREE_STUDY_SQL = f"""{SUPPLIERS_SQL}, {BOTH_SQL.replace("FROM panel WHERE", "FROM panel WHERE fq_ret IS NOT NULL AND")},
+{trees_sql('both_', 'fit', 'fq_ret', depth=2, train="split = 'train'", **TREES_SQL)},
+p AS (SELECT *, fq_ret AS y, score0 AS pred FROM fit), {E3_SQL}, w AS ({E1_SQL}),
+t AS (SELECT split, avg(d) AS "Top-Bottom", avg(d) / stddev_samp(d) AS "Top-Bottom-std" FROM tb GROUP BY 1)
+FROM (UNPIVOT w ON r2, mse, mae, mape, mlse INTO NAME metric VALUE value)
+UNION ALL FROM (UNPIVOT t ON "Top-Bottom", "Top-Bottom-std" INTO NAME metric VALUE value)"""
+
+
+@ENTRIES.add("n1_tree_study_scores", f"WITH {TREE_STUDY_SQL}", ["value"], digits=6)
 def _(spark, sf_dir):
     def make(params):
         return learners.boosted_trees(X, "fq_ret", key=KEY, **TREES, **params)

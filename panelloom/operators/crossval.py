@@ -9,6 +9,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from types import ModuleType
 
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import Evaluator
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import logistic, trees
 from ..session import attach_side, hold, release, settle, side
 from .linear import add_moments, linear_score, moments, solve_ridge
+from .logistic import Logistic
 from .metrics import evaluate_classifier, evaluate_model
 from .profile import argmax_row
 from .splits import fold_role, in_sample, purged_folds
+from .trees import BoostedTrees
 
 KEYS = ["model_id", "epoch", "fold", "partition"]
 
@@ -111,10 +115,15 @@ def estimator_cv(
 ) -> DataFrame:
     """The same for any estimator that writes ``pred``: one fit per set, epoch and fold.
 
-    Fits are submitted from a few driver threads; each is a Spark job of its own. The
-    scores of one fit are few rows and are settled, so no fit is ever repeated.
+    Boosted trees and logistic models are fitted together, see ``joint_cv``. Other fits are
+    submitted from a few driver threads; each is a Spark job of its own. The scores of one fit
+    are few rows and are settled, so no fit is ever repeated.
     """
     rule = (purge_length, embargo_length, train_from_future)
+    made = [make(params) for params in param_sets]
+    for joint, fits in ((BoostedTrees, trees), (Logistic, logistic)):
+        if all(isinstance(m, joint) for m in made):
+            return joint_cv(df, date, key, label, made, fits, folds, kind, rule, subsample, n_epoch, strategy)
     held = hold(df)
 
     def run(task):
@@ -144,6 +153,58 @@ def estimator_cv(
     return reduce(DataFrame.unionByName, parts)
 
 
+def joint_cv(
+    df: DataFrame,
+    date: str,
+    key: Sequence[str],
+    label: str,
+    estimators: Sequence[BoostedTrees | Logistic],
+    fits: ModuleType,
+    folds: Sequence[tuple[dt.date, dt.date]],
+    kind: str,
+    rule: tuple,
+    subsample: float,
+    n_epoch: int,
+    strategy: dict | None,
+) -> DataFrame:
+    """Every parameter set, epoch and fold in the same passes over one panel.
+
+    A model's training rows are a set of dates, so folds need no frames of their own. All
+    models score a row at once, and fold, epoch and model are mere keys of the evaluation.
+    """
+    needed = [date, *key, *estimators[0].features, label, *([strategy["label_fm"]] if strategy else [])]
+    held = hold(df.select(*dict.fromkeys(needed)).where(F.col(label).isNotNull()))
+    # A calendar: one row per date and fold.
+    days = purged_folds(held.select(date).distinct(), date, folds, *rule).where("role = 'train'")
+    train: dict[int, set[int]] = {}
+    for r in days.select("fold", F.unix_date(date).alias("day")).collect():
+        train.setdefault(r["fold"], set()).add(r["day"])
+    used = sorted(train)  # folds with something to learn from
+    samples = {f"_s{e}": in_sample(key, subsample, e) for e in range(n_epoch)} if subsample < 1 else {}
+    jobs = [(m, e, f) for m in estimators for e in range(n_epoch) for f in used]
+    models = fits.fit_together(
+        held, [m for m, _, _ in jobs], [frozenset(train[f]) for _, _, f in jobs], F.unix_date(date), samples,
+        [f"_s{e}" if samples else None for _, e, _ in jobs], key,
+    )
+    rows = held.withColumn("_p", fits.prediction_column(models, estimators[0].features))
+    rows = purged_folds(_with_epochs(rows, n_epoch), date, folds, *rule).where(F.col("fold").isin(used))
+    if samples:
+        rows = rows.where((F.col("role") == "val") | in_sample(key, subsample, F.col("epoch")))
+    place = F.array_position(F.array(*[F.lit(f) for f in used]), F.col("fold").cast("int")) - 1
+    first = F.col("epoch") * len(used) + place
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(len(estimators) - 1)),
+        lambda i: F.struct(
+            i.alias("model_id"), F.get("_p", (i * n_epoch * len(used) + first).cast("int")).alias("pred")
+        ),
+    )
+    scored = rows.withColumn("_m", F.explode(each)).select("*", "_m.*").drop("_m", "_p")
+    scored = scored.withColumnRenamed("role", "partition").where(F.col("pred").isNotNull())
+    scores = settle(evaluate_model(scored, kind, label, KEYS, strategy))
+    release(held)
+    return scores
+
+
 def summarize_cv(long: DataFrame) -> DataFrame:
     """Mean, population std and the fold values of every model, partition and metric."""
     values = F.array_sort(F.collect_list(F.struct("epoch", "fold", "value")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
@@ -228,28 +229,37 @@ def predict(
     return fitted.transform(grown).select(*columns, "pred"), reduce(DataFrame.unionByName, parts)
 
 
+# The date of rows that every model of a walk-forward learns from.
+ALWAYS = -(2**31)
+
+
+def day_number(day: dt.date) -> int:
+    """Days since 1970, as ``unix_date`` counts them."""
+    return (day - dt.date(1970, 1, 1)).days
+
+
 def _walk_together(model, train, test, columns, date, months) -> tuple[DataFrame, DataFrame]:
     """The same with all months' models fitted in the same passes over the panel.
 
-    Every model has the train rows (month -1 here) and the test rows before its month. Cuts of
-    factors are those of the train rows, which no model may look beyond.
+    Every model has the train rows and the test rows before its month. Cuts of factors are
+    those of the train rows, which no model may look beyond.
     """
     names = list(dict.fromkeys([*columns, *model.features, model.label, *getattr(model, "key", ()), date]))
-    both = train.select(*names, F.lit(-1).alias("_when")).unionByName(
-        test.select(*names, trees.month_number(date).alias("_when"))
+    both = train.select(*names, F.lit(ALWAYS).alias("_when")).unionByName(
+        test.select(*names, F.unix_date(date).alias("_when"))
     )
-    numbers = [m.year * 12 + m.month - 1 for m in months]
-    sets = [frozenset([-1, *[n for n in numbers if n < now]]) for now in numbers]
+    numbers = [day_number(m) for m in months]
+    sets = [frozenset([ALWAYS, *[n for n in numbers if n < now]]) for now in numbers]
     together = {"when": F.col("_when")}
     if isinstance(model, BoostedTrees):
-        fits = trees.fit_together(both, [model] * len(sets), sets, cuts_from=F.col("_when") == -1, **together)
-        at = F.array_position(F.array(*[F.lit(n) for n in numbers]), trees.month_number(date).cast("int")) - 1
+        fits = trees.fit_together(both, [model] * len(sets), sets, cuts_from=F.col("_when") == ALWAYS, **together)
+        at = F.array_position(F.array(*[F.lit(n) for n in numbers]), F.unix_date(date)) - 1
         out = test.withColumn("pred", trees.prediction_of(fits, model.features, at))
     else:
         fits = newton.fit_together(both, [model] * len(sets), sets, **together)
         pred = F.lit(None).cast("double")
         for n, fitted in zip(numbers, fits):
-            pred = F.when(trees.month_number(date) == n, fitted.pred_column()).otherwise(pred)
+            pred = F.when(F.unix_date(date) == n, fitted.pred_column()).otherwise(pred)
         out = test.withColumn("pred", pred)
     grown = train.select(*names).unionByName(test.where(F.col(date) < F.lit(months[-1])).select(*names))
     return fits[-1].transform(grown).select(*columns, "pred"), out.select(*columns, "pred")

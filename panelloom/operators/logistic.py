@@ -81,10 +81,10 @@ class LogisticModel:
 
 @dataclass
 class Job:
-    """One model of a joint fit: its rows are those of ``months`` (None: all) and ``sample``."""
+    """One model of a joint fit: its rows are those of ``dates`` (None: all) and ``sample``."""
 
     params: LogisticParams
-    months: frozenset[int] | None = None
+    dates: frozenset[int] | None = None
     sample: str | None = None
 
 
@@ -139,7 +139,7 @@ def newton_step(sums: np.ndarray, weights: np.ndarray, c: float | None) -> tuple
 
 
 def fit_jobs(table: DataFrame, features: Sequence[str], jobs: Sequence[Job]) -> list[LogisticModel]:
-    """Fit all jobs over a written table of the factors, ``_y``, month ``_t`` and sample flags.
+    """Fit all jobs over a written table of the factors, ``_y``, date number ``_t`` and sample flags.
 
     Rows with a missing factor or label are left out. A step that raises the loss is halved.
     """
@@ -160,8 +160,8 @@ def fit_jobs(table: DataFrame, features: Sequence[str], jobs: Sequence[Job]) ->
             y, t = values[:, d - 1], values[:, d]
             for i, job in enumerate(chosen):
                 use = whole.copy()
-                if job.months is not None:
-                    use &= np.isin(t, np.fromiter(job.months, float, len(job.months)))
+                if job.dates is not None:
+                    use &= np.isin(t, np.fromiter(job.dates, float, len(job.dates)))
                 if job.sample is not None:
                     use &= batch.column(batch.schema.get_field_index(job.sample)).to_numpy(zero_copy_only=False)
                 if use.any():
@@ -187,6 +187,11 @@ def fit_jobs(table: DataFrame, features: Sequence[str], jobs: Sequence[Job]) ->
     return [LogisticModel(features, j.params, w, s) for j, w, s in zip(jobs, weights, steps)]
 
 
+def prediction_column(models: Sequence[LogisticModel], features: Sequence[str]) -> Column:
+    """The array of the predictions of several models, for every row."""
+    return F.array(*[m.pred_column() for m in models])
+
+
 class Logistic:
     """Estimator: ``fit(df)`` gives a LogisticModel. Labels are 0, 1, ..; by default their
     number is that of the classes."""
@@ -212,11 +217,11 @@ class Logistic:
 
 
 def fit_together(
-    df: DataFrame, estimators: Sequence[Logistic], months: Sequence[frozenset[int] | None],
+    df: DataFrame, estimators: Sequence[Logistic], dates: Sequence[frozenset[int] | None],
     when: Column | None = None, samples: dict[str, Column] | None = None, used: Sequence[str | None] | None = None,
     key: Sequence[str] = (),
 ) -> list[LogisticModel]:
-    """One model per estimator, of its months (numbers of ``when``) and its sample column."""
+    """One model per estimator, of its dates (numbers of ``when``) and its sample column."""
     first = estimators[0]
     params = first.params(df)
     samples = samples or {}
@@ -227,7 +232,7 @@ def fit_together(
     table, path = write_table(rows, "logistic")
     jobs = [
         Job(LogisticParams(params.n_classes, **e.rest), m, s)
-        for e, m, s in zip(estimators, months, used or [None] * len(estimators))
+        for e, m, s in zip(estimators, dates, used or [None] * len(estimators))
     ]
     models = fit_jobs(table, first.features, jobs)
     drop_table(df.sparkSession, path)

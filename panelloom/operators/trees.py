@@ -328,7 +328,7 @@ def score_column(models: Sequence[TreeModel]):
 
 @dataclass
 class Binned:
-    """The written panel: ``b0..`` bins (-1: missing), ``y``, month ``t``, hash ``u``, scores ``f``."""
+    """The written panel: ``b0..`` bins (-1: missing), ``y``, date number ``t``, hash ``u``, scores ``f``."""
 
     table: DataFrame
     path: str
@@ -343,10 +343,6 @@ class Binned:
         drop_table(self.table.sparkSession, self.path)
 
 
-def month_number(date: str):
-    return F.year(date) * 12 + F.month(date) - 1
-
-
 def quantile_cuts(df: DataFrame, features: Sequence[str], max_bins: int) -> list[np.ndarray]:
     """Distinct inner quantiles of each factor (one row to the driver)."""
     row = quantiles(df, [], list(features), [i / max_bins for i in range(1, max_bins)]).first()
@@ -363,7 +359,7 @@ def bin_panel(
 ) -> Binned:
     """Cut the labelled rows. NaN counts as missing; infinities fall into the outer bins.
 
-    ``when`` numbers the months, and ``samples`` names boolean columns, that models may restrict
+    ``when`` numbers the dates, and ``samples`` names boolean columns, that models may restrict
     their rows to.
     """
     features = list(features)
@@ -402,10 +398,10 @@ def bin_panel(
 
 @dataclass
 class Job:
-    """One model of a joint fit: its rows are those of ``months`` (None: all) and ``sample``."""
+    """One model of a joint fit: its rows are those of ``dates`` (None: all) and ``sample``."""
 
     params: TreeParams
-    months: frozenset[int] | None = None
+    dates: frozenset[int] | None = None
     sample: str | None = None
 
 
@@ -463,8 +459,8 @@ class Fit:
 def chosen_rows(job: Job, rows: Rows, round_: int | None) -> np.ndarray:
     """Rows a model learns from; with a round, also its subsample."""
     use = np.ones(len(rows.y), bool)
-    if job.months is not None:
-        use &= np.isin(rows.t, np.fromiter(job.months, np.int64, len(job.months)))
+    if job.dates is not None:
+        use &= np.isin(rows.t, np.fromiter(job.dates, np.int64, len(job.dates)))
     if job.sample is not None:
         use &= rows.flags[job.sample]
     if round_ is not None and job.params.subsample < 1:
@@ -781,11 +777,11 @@ class BoostedTrees:
 
 
 def fit_together(
-    df: DataFrame, estimators: Sequence[BoostedTrees], months: Sequence[frozenset[int] | None],
+    df: DataFrame, estimators: Sequence[BoostedTrees], dates: Sequence[frozenset[int] | None],
     when: Column | None = None, samples: dict[str, Column] | None = None, used: Sequence[str | None] | None = None,
     key: Sequence[str] = (), cuts_from: Column | None = None,
 ) -> list[TreeModel]:
-    """One model per estimator, of its months (numbers of ``when``) and its sample column.
+    """One model per estimator, of its dates (numbers of ``when``) and its sample column.
 
     All are fitted in the same passes. ``cuts_from`` says whose rows set the cuts, where some
     rows must not be looked at yet.
@@ -799,5 +795,5 @@ def fit_together(
         seen = df.where(cuts_from & F.col(first.label).isNotNull())
         cuts = quantile_cuts(seen.select(*[F.col(c).cast("double").alias(c) for c in first.features]), first.features, bins)
     data = bin_panel(df, first.features, first.label, bins, when, key or first.key, cuts, samples)
-    jobs = [Job(e.params, m, s) for e, m, s in zip(estimators, months, used or [None] * len(estimators))]
+    jobs = [Job(e.params, m, s) for e, m, s in zip(estimators, dates, used or [None] * len(estimators))]
     return fit_jobs(data, jobs)

@@ -97,8 +97,9 @@ def _ridge_predictions(config: StudyConfig, panel, train, test, alpha, columns):
             panel.where(F.col(config.date) <= F.lit(config.test_end).cast("date")),
             config.date, config.features, config.label, config.test_begin, alpha,
         )
-        last = returns.latest_row(fits, config.date).drop(config.date)
-        final = panel.where(F.col(config.date) < F.lit(config.test_end).cast("date"))
+        latest = settle(returns.latest_row(fits, config.date))
+        last, day = latest.drop(config.date), latest.first()[config.date]
+        final = panel.where(F.col(config.date) < F.lit(day))
         return linear.predict_linear(final, last, config.features).select(*columns, "pred"), \
             scored.select(*columns, "pred")
     coefs = settle(linear.fit_ridge(train, config.features, config.label, alpha))
