@@ -184,7 +184,12 @@ def fit_jobs(table: DataFrame, features: Sequence[str], jobs: Sequence[Job]) ->
             if steps[a] < jobs[a].params.max_iter:
                 still.append(a)
         open_ = still
-    return [LogisticModel(features, j.params, w, s) for j, w, s in zip(jobs, weights, steps)]
+    return [LogisticModel(features, j.params, centred(w, j.params.scheme), s) for j, w, s in zip(jobs, weights, steps)]
+
+
+def centred(weights: np.ndarray, scheme: str) -> np.ndarray:
+    """Softmax knows weights up to a common shift of all classes; theirs is to add up to zero."""
+    return weights - weights.mean(axis=0) if scheme == "multinomial" else weights
 
 
 def prediction_column(models: Sequence[LogisticModel], features: Sequence[str]) -> Column:
