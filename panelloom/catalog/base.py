@@ -275,3 +275,17 @@ def newton_sql(source: str, target: str, hit: str, steps: int, c: float | None,
     w2 - ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det AS w2 FROM {target}_d{i})""")
     parts.append(f"{target} AS (SELECT * FROM {target}_w{steps})")
     return ",\n".join(parts)
+
+
+def walk_sql(nodes: str, points: str, target: str, x: tuple[str, ...], depth: int, start: float = 0.0) -> str:
+    """CTEs that score ``points`` (id and factors) with the trees of a node table: (id, output, score)."""
+    value = "CASE n.factor " + " ".join(f"WHEN '{c}' THEN p.{c}" for c in x) + " END"
+    parts = [f"{target}_0 AS (SELECT p.*, t.round, t.output, 0 AS node FROM {points} p, (SELECT DISTINCT round, output FROM {nodes}) t)"]
+    names = ", ".join(f"p.{c}" for c in x)
+    for d in range(depth):
+        parts.append(f"""{target}_{d + 1} AS (SELECT p.id, {names}, p.round, p.output, CASE WHEN n.factor IS NULL THEN p.node
+      WHEN {value} <= n.cut OR {value} IS NULL AND n.missing_left THEN 2 * p.node + 1 ELSE 2 * p.node + 2 END AS node
+  FROM {target}_{d} p JOIN {nodes} n ON n.round = p.round AND n.output = p.output AND n.node = p.node)""")
+    parts.append(f"""{target} AS (SELECT p.id, p.output, {start} + sum(n.value) AS score FROM {target}_{depth} p
+  JOIN {nodes} n ON n.round = p.round AND n.output = p.output AND n.node = p.node GROUP BY ALL)""")
+    return ",\n".join(parts)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import interpret, learners, linear
 from ..operators.profile import correlation_matrix
 from ..plans.panels import market_series, row_panel, supplier_panel
-from .base import MARKET_SQL, ROWS_SQL, Register, SUPPLIERS_SQL, ridge_sql
-from .learning import SCORED_SQL, X, class_sides, scored
+from .base import MARKET_SQL, ROWS_SQL, Register, SUPPLIERS_SQL, ridge_sql, trees_sql, walk_sql
+from .learning import (
+    CLASSED_PANEL_SQL, GAPS_SQL, KEY, SCORED_SQL, STEPS, TREES, TREES_SQL, X, class_sides, rest_sql, scored, with_gaps,
+)
 from .searching import ALPHAS, CV_SQL, ridge_search
 
 ENTRIES = Register()
@@ -187,22 +189,37 @@ def _(spark, sf_dir):
 
 def _class_score(spark, sf_dir):
     train, _ = class_sides(spark, sf_dir)
-    fitted = learners.logistic(X, "fq_ret_cls", 3).fit(train)
+    fitted = learners.logistic_one_vs_rest(X, "fq_ret_cls", 3, max_iter=STEPS).fit(train)
 
     def score(df):
-        out = learners.class_probabilities(fitted.transform(df))
+        out = fitted.transform(df)
         return out.withColumns({f"p{i}": F.col("probability")[i] for i in range(3)})
 
     return train, score
 
 
-@ENTRIES.add("i11_partial_dependence_of_pairs")
+_SIGMOIDS = [f"1 / (1 + exp(-(w{k}.w0 + w{k}.w1 * g1 + w{k}.w2 * g2)))" for k in range(3)]
+PAIRS_SQL = f"""{CLASSED_PANEL_SQL}, {rest_sql(None)},
+ga AS (SELECT DISTINCT unnest([{', '.join(f'quantile_cont(x1, {i / 5!r})' for i in range(6))}]) AS g1 FROM train),
+gb AS (SELECT DISTINCT unnest([{', '.join(f'quantile_cont(x2, {i / 5!r})' for i in range(6))}]) AS g2 FROM train),
+raw AS (SELECT g1, g2, {', '.join(f'{p} AS s{k}' for k, p in enumerate(_SIGMOIDS))} FROM train, ga, gb, w0, w1, w2),
+dep AS (SELECT g1 AS x1, g2 AS x2, {', '.join(f'avg(s{k} / (s0 + s1 + s2)) AS mean_p{k}' for k in range(3))},
+  {', '.join(f'stddev_pop(s{k} / (s0 + s1 + s2)) AS std_p{k}' for k in range(3))} FROM raw GROUP BY ALL)"""
+PAIR_COLUMNS = ["x1", "x2", *[f"{m}_p{k}" for m in ("mean", "std") for k in range(3)]]
+
+
+@ENTRIES.add("i11_partial_dependence_of_pairs", f"WITH {PAIRS_SQL} SELECT * FROM dep", PAIR_COLUMNS, digits=7)
 def _(spark, sf_dir):
     train, score = _class_score(spark, sf_dir)
     return interpret.partial_dependence(train, X, X, score, ["p0", "p1", "p2"], resolution=6)
 
 
-@ENTRIES.add("i12_class_map")
+@ENTRIES.add(
+    "i12_class_map",
+    f"""WITH {PAIRS_SQL} SELECT x1, x2, CASE WHEN mean_p0 >= mean_p1 AND mean_p0 >= mean_p2 THEN 'T3'
+    WHEN mean_p1 >= mean_p2 THEN 'T2' ELSE 'T1' END AS label FROM dep""",
+    ["x1", "x2"], digits=7,
+)
 def _(spark, sf_dir):
     train, score = _class_score(spark, sf_dir)
     outputs = ["p0", "p1", "p2"]
@@ -210,6 +227,49 @@ def _(spark, sf_dir):
     return interpret.class_map(dependence, X, outputs, ["T3", "T2", "T1"])
 
 
+THREE = ("x1", "x2", "n_rows")
+
+
+def _moved_sql(source, moved, resolution):
+    """Every row of ``source`` at every grid point of the ``moved`` factors."""
+    grids = ", ".join(
+        f"g{i} AS (SELECT DISTINCT unnest([{', '.join(f'quantile_cont({c}, {j / (resolution - 1)!r})' for j in range(resolution))}]) AS v{i} FROM {source})"
+        for i, c in enumerate(moved)
+    )
+    swaps = ", ".join(f"v{moved.index(c)} AS {c}" if c in moved else c for c in THREE)
+    marks = ", ".join(f"v{i}" for i in range(len(moved)))
+    return f"{grids}, moved AS MATERIALIZED (SELECT row_number() OVER () AS id, {marks}, {swaps} FROM {source}, {', '.join(f'g{i}' for i in range(len(moved)))})"
+
+
+@ENTRIES.add(
+    "i11_tree_dependence",
+    f"""WITH {SUPPLIERS_SQL}, {GAPS_SQL}, {trees_sql('gaps', 'fit', 'fq_ret', depth=2, x=THREE, **TREES_SQL)},
+    {_moved_sql('gaps', ('x1', 'n_rows'), 6)}, {walk_sql('fit_nodes', 'moved', 'walked', THREE, 2)}
+    SELECT v0 AS x1, v1 AS n_rows, avg(score) AS mean_score0 FROM walked JOIN moved USING (id) GROUP BY ALL""",
+    ["x1", "n_rows", "mean_score0"],
+)
+def _(spark, sf_dir):
+    panel = with_gaps(supplier_panel(spark, sf_dir))
+    model = learners.boosted_trees(THREE, "fq_ret", key=KEY, max_depth=2, **TREES).fit(panel)
+    return interpret.tree_dependence(panel, model, ["x1", "n_rows"], 6)
+
+
+@ENTRIES.add(
+    "i12_tree_class_dependence",
+    f"""WITH {CLASSED_PANEL_SQL}, {trees_sql('train', 'fit', 'cls', depth=2, x=THREE, n_classes=3, **{**TREES_SQL, 'rounds': 2, 'mcw': 5.0})},
+    {_moved_sql('train', ('x2',), 6)}, {walk_sql('fit_nodes', 'moved', 'walked', THREE, 2)},
+    e AS (SELECT id, output, exp(score) AS e, sum(exp(score)) OVER (PARTITION BY id) AS s FROM walked),
+    m AS (SELECT v0, output, avg(e / s) AS mean, stddev_pop(e / s) AS std FROM e JOIN moved USING (id) GROUP BY ALL)
+    SELECT v0 AS x2, {', '.join(f"max({c}) FILTER (output = {k}) AS {c}_p{k}" for c in ('mean', 'std') for k in range(3))} FROM m GROUP BY 1""",
+    ["x2", *PAIR_COLUMNS[2:]],
+)
+def _(spark, sf_dir):
+    train, _ = class_sides(spark, sf_dir)
+    settings = {**TREES, "n_estimators": 2, "min_child_weight": 5.0}
+    model = learners.boosted_classifier(THREE, "fq_ret_cls", 3, key=KEY, max_depth=2, **settings).fit(train)
+    return interpret.tree_class_dependence(train, model, ["x2"], 6)
+
+
 @ENTRIES.add(
     "i13_high_low_error",
     f"WITH {MARKET_SQL} SELECT month, level, (high - low) / 2 AS err FROM market",

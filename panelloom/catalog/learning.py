@@ -215,6 +215,20 @@ def _(spark, sf_dir):
     return knn_predict(train.where("fq_ret is not null"), test, X, "fq_ret_cls", 100, KEY, KEY, "cla")
 
 
+@ENTRIES.add(
+    "m5_nearest_neighbours_of_three_factors",
+    f"""WITH {SUPPLIERS_SQL}, {TRAIN_SQL.replace('WHERE', 'WHERE fq_ret IS NOT NULL AND')}, {TEST_SQL},
+    near AS (SELECT q.month, q.sec, t.fq_ret FROM test q, train t QUALIFY row_number() OVER (PARTITION BY q.month, q.sec
+      ORDER BY sqrt((t.x1 - q.x1) * (t.x1 - q.x1) + (t.x2 - q.x2) * (t.x2 - q.x2) + (t.n_rows - q.n_rows) * (t.n_rows - q.n_rows)),
+      t.month, t.sec) <= 25)
+    SELECT month, sec, avg(fq_ret) AS pred FROM near GROUP BY ALL""",
+    ["pred"],
+)
+def _(spark, sf_dir):
+    train, test = train_test_split_by_date(supplier_panel(spark, sf_dir), "month", BEGIN, END)
+    return knn_predict(train.where("fq_ret is not null"), test, [*X, "n_rows"], "fq_ret", 25, KEY, KEY)
+
+
 @ENTRIES.add("m6_polynomial_support_vectors")
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)

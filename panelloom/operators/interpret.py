@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import sys
 from collections.abc import Callable, Sequence
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +18,10 @@ from ..functions.scalars import argmax_label
 from ..session import attach
 from .linear import linear_score
 from .order_stats import quantiles
+from .passes import add_up_array, matrix
+from .trees import Tree, TreeModel, probabilities
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def histogram(
@@ -143,13 +151,6 @@ def surface(
     return scored.select(*keys, *features, linear_score(features).alias("pred"))
 
 
-def surface_of(
-    spark: SparkSession, model, features: Sequence[str], step: float, limits
-) -> DataFrame:
-    """Predictions of any fitted model on the grid."""
-    return model.transform(mesh(spark, features, limits, step)).select(*features, "pred")
-
-
 def percentile_grid(df: DataFrame, features: Sequence[str], resolution: int) -> DataFrame:
     """One row with the grid of each feature: its evenly spaced percentiles."""
     probs = [i / (resolution - 1) for i in range(resolution)]
@@ -183,6 +184,123 @@ def partial_dependence(
     )
 
 
+def tree_dependence(
+    df: DataFrame, model: TreeModel, interest: Sequence[str], resolution: int = 20
+) -> DataFrame:
+    """``partial_dependence`` of a tree model's score (one per class: ``mean_score0``, ..).
+
+    One pass counts, for every node of every tree, the rows that would reach it if splits on
+    the factors of interest let everything through. A grid point then walks the trees: those
+    splits go its way, and the other ones share it out by the counts. The means are exactly
+    those of scoring the panel once per grid point.
+    """
+    inner = {model.features.index(f) for f in interest}
+    flat = [(k, t) for group in model.trees for k, t in enumerate(group)]
+    width = max([len(t.feature) for _, t in flat] + [1])
+
+    def fold(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        rows = matrix(batch, model.features)
+        total[-1, 0] += len(rows)
+        for i, (_, tree) in enumerate(flat):
+            total[i, : len(tree.feature)] += reaching(tree, rows, inner)
+
+    columns = [F.col(c).cast("double").alias(c) for c in model.features]
+    count = add_up_array(df.select(*columns), (len(flat) + 1, width), fold)
+    n = max(count[-1, 0], 1.0)
+    grid = percentile_grid(df, interest, resolution).first()  # ``resolution`` numbers per factor
+    axes = [sorted({v for v in grid[f"q_{f}"] or [] if v is not None}) for f in interest]
+    points = []
+    for spot in itertools.product(*axes):
+        value = dict(zip((model.features.index(f) for f in interest), spot))
+        scores = [float(model.params.start)] * model.params.outputs
+        for i, (k, tree) in enumerate(flat):
+            scores[k] += sum(tree.value[leaf] * count[i, leaf] for leaf in leaves_at(tree, value)) / n
+        points.append((*map(float, spot), *map(float, scores)))
+    names = [*interest, *[f"mean_score{k}" for k in range(model.params.outputs)]]
+    return df.sparkSession.createDataFrame(points, ", ".join(f"`{c}` double" for c in names))
+
+
+def reaching(tree: Tree, rows: np.ndarray, free: set[int]) -> np.ndarray:
+    """Rows that reach each node if splits on the ``free`` factors send them both ways."""
+    here = {0: np.ones(len(rows), bool)}
+    out = np.zeros(len(tree.feature))
+    for node in range(len(tree.feature)):
+        if node not in here:
+            continue
+        held, f = here.pop(node), tree.feature[node]
+        out[node] = held.sum()
+        if f < 0:
+            continue
+        if f in free:
+            left = right = held
+        else:
+            x = rows[:, f]
+            goes = np.where(np.isnan(x), tree.missing_left[node], x <= tree.cut[node])
+            left, right = held & goes, held & ~goes
+        here[2 * node + 1], here[2 * node + 2] = left, right
+    return out
+
+
+def leaves_at(tree: Tree, value: dict[int, float], node: int = 0) -> list[int]:
+    """Leaves that a grid point can reach, whatever the other factors are."""
+    f = tree.feature[node]
+    if f < 0:
+        return [node]
+    if f in value:
+        return leaves_at(tree, value, 2 * node + (1 if value[f] <= tree.cut[node] else 2))
+    return leaves_at(tree, value, 2 * node + 1) + leaves_at(tree, value, 2 * node + 2)
+
+
+def tree_class_dependence(
+    df: DataFrame, model: TreeModel, interest: Sequence[str], resolution: int = 20
+) -> DataFrame:
+    """Mean and std of each class's probability (``mean_p0``, ``std_p0``, ..) on the grid.
+
+    Probabilities do not add up over trees, so rows are not summed per node. They differ only in
+    the bins of the other factors that the trees tell apart: the panel is counted once by
+    these, and tasks score the counted combinations, not the rows, at all grid points.
+    """
+    classes = model.params.outputs
+    grid = percentile_grid(df, interest, resolution).first()
+    axes = [sorted({v for v in grid[f"q_{f}"] or [] if v is not None}) for f in interest]
+    spots = np.array(list(itertools.product(*axes)), float).reshape(-1, len(interest))
+    at = [model.features.index(f) for f in interest]
+    rest = [i for i in range(len(model.features)) if i not in at]
+    bins, middles = [], []
+    for i in rest:
+        cuts = sorted({float(c) for g in model.trees for t in g for c in t.cut[t.feature == i] if np.isfinite(c)})
+        x = F.nanvl(F.col(model.features[i]).cast("double"), F.lit(None).cast("double"))
+        bin_ = F.lit(0)
+        for j, c in enumerate(cuts):
+            bin_ = F.when(x > F.lit(c), j + 1).otherwise(bin_)
+        bins.append(F.when(x.isNotNull(), bin_).alias(f"b{i}"))
+        # A number inside each bin: the upper cut, and something above the last one.
+        middles.append(np.array([*cuts, (cuts[-1] + 1 + abs(cuts[-1])) if cuts else 0.0]))
+    counted = df.groupBy(*bins).agg(F.count(F.lit(1)).cast("double").alias("n")) if bins else df.agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    names = [f"b{i}" for i in rest]
+
+    def fold(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        held = matrix(batch, [*names, "n"])
+        rows = np.empty((len(held), len(model.features)))
+        for j, i in enumerate(rest):
+            b = held[:, j]
+            rows[:, i] = np.where(np.isnan(b), np.nan, middles[j][np.nan_to_num(b).astype(int)])
+        for g, spot in enumerate(spots):
+            rows[:, at] = spot
+            p = probabilities(model.raw(rows))
+            total[g, :, 0] += held[:, -1] @ p
+            total[g, :, 1] += held[:, -1] @ (p * p)
+        total[-1, 0, 0] += held[:, -1].sum()
+
+    total = add_up_array(counted, (len(spots) + 1, classes, 2), fold)
+    mean, square = (total[:-1, :, i] / max(total[-1, 0, 0], 1.0) for i in (0, 1))
+    std = np.sqrt(np.maximum(square - mean * mean, 0))
+    points = [(*map(float, s), *map(float, m), *map(float, d)) for s, m, d in zip(spots, mean, std)]
+    out = [*interest, *[f"mean_p{k}" for k in range(classes)], *[f"std_p{k}" for k in range(classes)]]
+    return df.sparkSession.createDataFrame(points, ", ".join(f"`{c}` double" for c in out))
+
+
 def class_map(dependence: DataFrame, features: Sequence[str], outputs: Sequence[str], labels: Sequence):
     """Most probable class at each grid point of a two-way partial dependence."""
     scores = F.array(*[F.col(f"mean_{o}") for o in outputs])
@@ -192,7 +310,3 @@ def class_map(dependence: DataFrame, features: Sequence[str], outputs: Sequence[
 def half_range(high: Column, low: Column) -> Column:
     """Error bar of a daily series."""
     return (high - low) / 2
-
-
-def union_models(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

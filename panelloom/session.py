@@ -61,10 +61,13 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write a frame to the shared folder and read it back, columns apart, for many passes."""
+    """Write a frame to the shared folder and read it back, columns apart, for many passes.
+
+    Rebalanced once: a small table is one file and one task a pass, a large one even files.
+    """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
