@@ -232,7 +232,7 @@ def _(spark, sf_dir):
 @ENTRIES.add("m6_polynomial_support_vectors")
 def _(spark, sf_dir):
     train, test = class_sides(spark, sf_dir)
-    model = learners.polynomial_svc(X, "fq_ret_cls", 3, 3, maxIter=10, regParam=0.01)
+    model = learners.polynomial_svc(X, "fq_ret_cls", 3, 3, c=0.01, gamma=0.002)
     return learners.predict(model, train, test, KEY)[1]
 
 

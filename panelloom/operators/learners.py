@@ -8,15 +8,15 @@ from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import logistic as newton, trees
-from ..session import hold, release
+from .kernel import PolynomialSVC
 from .logistic import Logistic
 from .splits import train_test_split_by_date
 from .trees import BoostedTrees, TreeModel, TreeParams
@@ -92,44 +92,6 @@ def boosted_classifier(features, label, n_classes, key=(), **params) -> BoostedT
     return boosted_trees(features, label, "softmax", n_classes, key, **params)
 
 
-class OneVsRestScores:
-    """One binary model per class; the class with the largest margin wins.
-
-    Margins are compared in column expressions, so scoring stays on the JVM.
-    """
-
-    def __init__(self, prepare: Sequence, classifier: Estimator, label: str, n_classes: int):
-        self.prepare, self.classifier = list(prepare), classifier
-        self.label, self.n_classes = label, n_classes
-        self.front: PipelineModel | None = None
-        self.models: list[Model] = []
-
-    def fit(self, df: DataFrame) -> "OneVsRestScores":
-        self.front = Pipeline(stages=self.prepare).fit(df)
-        ready = hold(self.front.transform(df).select("_features", self.label))
-        self.models = [
-            self.classifier.fit(
-                ready.withColumn("_is", (F.col(self.label) == i).cast("double"))
-            )
-            for i in range(self.n_classes)
-        ]
-        release(ready)
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.front.transform(df)
-        for i, model in enumerate(self.models):
-            out = model.transform(out).withColumn(f"_m{i}", vector_to_array("rawPrediction")[1])
-            out = out.drop("rawPrediction", "_guess", "probability")
-        margins = F.array(*[F.col(f"_m{i}") for i in range(self.n_classes)])
-        best = F.array_position(margins, F.array_max(margins)) - 1
-        return out.withColumn("pred", best.cast("double")).select(*df.columns, "pred")
-
-
-# Columns that every binary model of a one-vs-rest scheme writes.
-BINARY = {"featuresCol": "_features", "labelCol": "_is", "predictionCol": "_guess"}
-
-
 def logistic_one_vs_rest(features, label, n_classes=None, c: float | None = None, **rest) -> Logistic:
     return Logistic(features, label, n_classes, c, "ovr", **rest)
 
@@ -139,14 +101,9 @@ def logistic(features, label, n_classes=None, c: float | None = None, **rest) ->
     return Logistic(features, label, n_classes, c, "multinomial", **rest)
 
 
-def polynomial_svc(features, label, n_classes, degree=3, **params) -> WholeRows:
-    """Linear machine on polynomial features, one class against the rest each."""
-    prepare = [
-        _assemble(features, "_raw_features"),
-        PolynomialExpansion(degree=degree, inputCol="_raw_features", outputCol="_poly"),
-        StandardScaler(inputCol="_poly", outputCol="_features", withMean=True),
-    ]
-    return WholeRows(OneVsRestScores(prepare, LinearSVC(**BINARY, **params), label, n_classes), features, label)
+def polynomial_svc(features, label, n_classes, degree=3, c=1.0, gamma=None, coef0=0.0) -> PolynomialSVC:
+    """Support vectors with a polynomial kernel, one class against one."""
+    return PolynomialSVC(features, label, n_classes, degree, c, gamma, coef0)
 
 
 def net(features, label, layers, seed, max_iter=50) -> WholeRows:
