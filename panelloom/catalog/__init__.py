@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import backtests, binning, cleaning, interpreting, joins, learning, scans, searching, studies
+from . import backtests, binning, cleaning, hooks, interpreting, joins, learning, scans, searching, studies
 from . import summaries, testing
 from .base import Entry
 
 MODULES = (
     scans, cleaning, joins, summaries, binning, backtests, learning, searching, testing,
-    interpreting, studies,
+    interpreting, studies, hooks,
 )
 
 

@@ -9,7 +9,8 @@ from ..operators.returns import calculate_diff_ir, calculate_return
 from ..operators.splits import date_range, with_split
 from ..plans.panels import SUPPLIERS, supplier_panel, table
 from ..session import staging_path
-from ..sources.readers import read_models, read_or_compute, read_panel
+from ..sources.commits import fingerprint, read_or_compute
+from ..sources.readers import read_models, read_panel
 from ..sources.writers import wide_export, write_panel, write_results
 from .base import Register, SUPPLIERS_SQL, bin_sql, returns_sql, spread_sql
 
@@ -56,6 +57,18 @@ def _(spark, sf_dir):
     return read_panel(spark, path, SUPPLIERS, "csv", index_column="index")
 
 
+@ENTRIES.add(
+    "s1_pruned_panel_scan",
+    f"""WITH {SUPPLIERS_SQL} SELECT month, sec, x1, x2, fq_ret, fm_ret, sector, CAST(member AS DOUBLE) AS member FROM panel
+    WHERE month BETWEEN DATE '1997-03-01' AND DATE '1997-08-31'""",
+)
+def _(spark, sf_dir):
+    path = staging_path(spark, "panel-parquet")
+    stored = supplier_panel(spark, sf_dir).select(*COLUMNS).withColumn("member", F.col("member").cast("double"))
+    stored.write.parquet(path)
+    return read_panel(spark, path, SUPPLIERS, begin="1997-03-15", end="1997-08-02")
+
+
 @ENTRIES.add(
     "s1_parquet_panel_by_year",
     f"""WITH {SUPPLIERS_SQL} SELECT month, sec, x1, x2 FROM panel
@@ -110,8 +123,9 @@ def _(spark, sf_dir):
     def compute():
         return panel.groupBy("month").agg(F.avg("fm_ret").alias("fm_ret"))
 
-    read_or_compute(spark, path, compute, read_last=False)
-    return read_or_compute(spark, path, compute, read_last=True)
+    mark = fingerprint({"what": "mean return"}, panel)
+    read_or_compute(spark, path, compute, read_last=False, mark=mark)
+    return read_or_compute(spark, path, compute, read_last=True, mark=mark)
 
 
 def _wide_sql():

@@ -210,6 +210,10 @@ class Logistic:
         self.features, self.label, self.n_classes = list(features), label, n_classes
         self.rest = {"c": c, "scheme": scheme, "max_iter": max_iter, "tol": tol}
 
+    def set_params(self, **changes) -> "Logistic":
+        """The same estimator with other parameters."""
+        return Logistic(self.features, self.label, self.n_classes, **{**self.rest, **changes})
+
     def params(self, df: DataFrame) -> LogisticParams:
         n = self.n_classes
         if n is None:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -772,6 +772,10 @@ class BoostedTrees:
     def __init__(self, features: Sequence[str], label: str, params: TreeParams, key: Sequence[str] = ()):
         self.features, self.label, self.params, self.key = list(features), label, params, list(key)
 
+    def set_params(self, **changes) -> "BoostedTrees":
+        """The same estimator with other parameters."""
+        return BoostedTrees(self.features, self.label, replace(self.params, **changes), self.key)
+
     def fit(self, df: DataFrame) -> TreeModel:
         return fit_together(df, [self], [None])[0]
 

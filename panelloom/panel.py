@@ -21,6 +21,7 @@ class Panel:
     label_fm: str | None = None
     sector: str | None = None
     extra: tuple[str, ...] = field(default_factory=tuple)
+    types: dict[str, T.DataType] = field(default_factory=dict)  # where they differ from ``schema``
 
     def columns(self) -> list[str]:
         named = [self.date, *self.key, *self.features]
@@ -28,12 +29,13 @@ class Panel:
         return list(dict.fromkeys([*named, *self.extra]))
 
     def schema(self) -> T.StructType:
-        """Explicit schema for text sources; keys are long, factors double."""
+        """Explicit schema for text sources; keys are long, factors double, unless ``types`` says so."""
         kinds: dict[str, T.DataType] = {self.date: T.DateType()}
         kinds.update({k: T.LongType() for k in self.key})
         for name in (self.label_cla, self.sector):
             if name:
                 kinds[name] = T.IntegerType()
+        kinds.update(self.types)
         return T.StructType(
             [T.StructField(c, kinds.get(c, T.DoubleType())) for c in self.columns()]
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,9 @@ from ..operators import crossval, interpret, linear, metrics, returns, selection
 from ..operators.bins import rank_predictions
 from ..operators.learners import predict
 from ..operators.splits import expand_grid, month_span, train_test_split_by_date, val_dates
+from ..operators.trees import TreeParams
 from ..session import hold, release, settle
+from ..sources.commits import commit_run, fingerprint, read_run, withdraw
 from ..sources.writers import write_results
 
 
@@ -108,11 +110,27 @@ def _ridge_predictions(config: StudyConfig, panel, train, test, alpha, columns):
     )
 
 
+def _described(config: StudyConfig) -> dict:
+    """The configuration as plain values; an estimator is described by what it builds."""
+    out = {f.name: getattr(config, f.name) for f in fields(config) if f.name != "make"}
+    if config.make is not None:
+        out["make"] = [
+            (type(m).__name__, {k: v for k, v in vars(m).items() if isinstance(v, (str, int, float, list, tuple, dict, TreeParams))})
+            for m in (config.make(p) for p in expand_grid(config.param_grid))
+        ]
+    return out
+
+
 def run_study(
     spark: SparkSession, config: StudyConfig, panel: DataFrame, output: str | None = None,
-    model: str = "model",
+    model: str = "model", read_last: bool = False,
 ) -> dict[str, DataFrame]:
-    """Run the study; every result is a DataFrame and, with ``output``, a stored table."""
+    """Run the study; every result is a DataFrame and, with ``output``, a stored table.
+
+    Stored tables are committed together at the end. With ``read_last`` a committed search of the
+    same configuration and panel files is read instead of run again.
+    """
+    mark = fingerprint(_described(config), panel)
     columns = list(
         dict.fromkeys(
             [config.date, *config.key, *config.features, config.label, config.label_fm,
@@ -125,7 +143,9 @@ def run_study(
         panel, config.date, config.test_begin, config.test_end,
         train_from_future=config.train_from_future,
     )
-    long = search(config, train)
+    cached = read_run(spark, output, model, "cv_long", mark) if output and read_last else None
+    # What is written below replaces the stored search, so it is settled first.
+    long = search(config, train) if cached is None else settle(cached)
     validation = long.where("partition = 'val'")
     chosen = settle(
         selection.select_best_model(
@@ -170,6 +190,7 @@ def run_study(
     by_metric = ["metric"]
     results = {
         "cv_results": crossval.summarize_cv(long),
+        "cv_long": long,
         "anova": selection.anova(validation, by_metric),
         "selected_model": chosen,
         "pred": pred,
@@ -189,7 +210,9 @@ def run_study(
             spark, settle(coefs), config.features, config.step, limits
         )
     if output:
+        withdraw(spark, output, model)
         write_results(results, output, model)
+        commit_run(spark, output, model, results, mark)
     # What is still lazy reads settled tables only.
     release(panel)
     return results

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from ..panel import Panel
 
@@ -19,11 +18,15 @@ def read_panel(
     fmt: str = "parquet",
     index_column: str | None = None,
     date_format: str = "yyyy-MM-dd",
+    begin: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
     """Scan a panel with its explicit schema; a stored index column is dropped.
 
     Columns are named in the schema, so no pass is spent on inference and a missing
-    column fails at once.
+    column fails at once. ``begin`` and ``end`` name the first and the last month wanted; they
+    compare the stored date itself, so they reach the files, which a filter on the truncated
+    date would not.
     """
     if fmt == "csv":
         fields = list(panel.schema().fields)
@@ -35,6 +38,10 @@ def read_panel(
         df = spark.read.format(fmt).load(path)
     if index_column is not None:
         df = df.drop(index_column)
+    if begin is not None:
+        df = df.where(F.col(panel.date) >= F.trunc(F.lit(begin).cast("date"), "month"))
+    if end is not None:
+        df = df.where(F.col(panel.date) < F.add_months(F.trunc(F.lit(end).cast("date"), "month"), 1))
     return panel.normalise(panel.check(df))
 
 
@@ -43,25 +50,3 @@ def read_models(
 ) -> DataFrame:
     """Results of several models, tagged by the partition column; absent ones are skipped."""
     return spark.read.parquet(path).where(F.col(model).isin(list(models)))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table can be read at the path (only its schema is looked at)."""
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
-
-
-def read_or_compute(
-    spark: SparkSession, path: str, compute: Callable[[], DataFrame], read_last: bool = True
-) -> DataFrame:
-    """The stored result if wanted and present, else compute, store and read it."""
-    if not (read_last and exists(spark, path)):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def read_staged_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
