@@ -4,12 +4,18 @@ A benchmark item of m bytes that occurs with at most e edits shares at least
 m - q + 1 - q e of its q-grams with the place, on diagonals (place in the document minus
 place in the item) that differ by at most e. Shared q-grams are therefore counted in bands
 of diagonals that overlap by half, bands below the bound are dropped, and what is left is
-aligned inside its band. The benchmark is the query set: it is held in blocks of bounded
-size, every block against all documents.
+aligned inside its band. Items shorter than a q-gram are looked for as they are. The
+benchmark is the query set: it is held in blocks of bounded size, every block against all
+documents.
+
+Repetitive text meets repetitive items in as many places as the product of both. So the
+places of one q-gram that are no farther apart than a band is wide are one run, a run and a
+place in the item make an interval of bands, and intervals are added up, not places.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -18,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, binary_column, chunks, run_starts
+from .common import MULTIPLIER, binary_column, chunks, mix, run_starts
 
 Q = 10
 EDIT_SHARE = 0.06  # edits allowed for each byte of an item
 BLOCK_BYTES = 1 << 22  # of benchmark text that travels to tasks at once
 FILTER_BITS = 22
+SPREAD = 1 << 20  # intervals held at once
+WORD = 8  # bytes compared as one number
 
 # Texts come in lower case; all ASCII white space counts as one kind (fixed values).
 FOLD = np.arange(256, dtype=np.uint8)
@@ -77,78 +85,186 @@ def banded_alignment(item: np.ndarray, text: np.ndarray, first: int, last: int,
     return int(start[d]), int(diagonal[d] + len(item)), int(cost[d])
 
 
-class Benchmark:
-    """Q-gram index of one block of items."""
+def words_at(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` <= 8 bytes from every place on as one number, zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(WORD, np.uint8)])
+    found = np.ndarray(len(data), np.dtype("<u8"), padded, 0, (1,))
+    return found if size == WORD else found & np.uint64((1 << 8 * size) - 1)
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int, share: float) -> None:
+
+def gram_key(words: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q bytes from each place on; ``words`` holds 8 (or all q < 8) bytes of every place."""
+    key = words[at]
+    for step in [*range(WORD, q - WORD, WORD), *([q - WORD] if q > WORD else [])]:
+        key = mix(key * np.uint64(MULTIPLIER)) + words[at + step]
+    return mix(key)
+
+
+def filter_slot(words: np.ndarray) -> np.ndarray:
+    return (words * np.uint64(MULTIPLIER) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+class GramIndex:
+    """Places of the q-grams of some items, by hash."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int) -> None:
         self.q = q
-        self.items = [(i, folded(t)) for i, t in items if len(t) >= q]
-        self.budget = np.array([edit_budget(len(t), q, share) for _, t in self.items], np.int64)
-        self.size = np.array([len(t) for _, t in self.items], np.int64)
-        self.need = np.maximum(self.size - q + 1 - q * self.budget, 1)
-        self.hasher = SpanHasher()
-        hashes, owner, place = [], [], []
-        for n, (_, text) in enumerate(self.items):
-            found = self.grams(text)
-            hashes.append(found)
-            owner.append(np.full(len(found), n))
-            place.append(np.arange(len(found)))
-        empty = np.empty(0, np.int64)
-        self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        hashes, owner, place, first = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        for n, text in items:
+            at = np.arange(max(len(text) - q + 1, 0))
+            words = words_at(text, min(q, WORD))
+            first.append(filter_slot(words[at]))
+            hashes.append(gram_key(words, at, q))
+            owner.append(np.full(len(at), n))
+            place.append(at)
+        self.hash = np.concatenate(hashes)
         order = np.argsort(self.hash, kind="stable")
-        self.hash = self.hash[order]
-        self.owner = (np.concatenate(owner) if owner else empty)[order]
-        self.place = (np.concatenate(place) if place else empty)[order]
+        self.hash, self.owner, self.place = self.hash[order], np.concatenate(owner)[order], np.concatenate(place)[order]
+        # A gram can only be there if its first bytes are.
         self.present = np.zeros(1 << FILTER_BITS, bool)
-        self.present[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        for slots in first:
+            self.present[slots] = True
 
-    def grams(self, text: np.ndarray) -> np.ndarray:
-        start = np.arange(max(len(text) - self.q + 1, 0))
-        return self.hasher.spans(self.hasher.prefix(text), start, start + self.q)
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, place in the row, hash) of every gram of the items inside a row."""
+        words = words_at(data, min(self.q, WORD))
+        at = np.flatnonzero(self.present[filter_slot(words)])
+        row = np.searchsorted(offsets, at, side="right") - 1
+        whole = at + self.q <= offsets[row + 1]
+        at, row = at[whole], row[whole]
+        key = gram_key(words, at, self.q)
+        spot = np.minimum(np.searchsorted(self.hash, key), max(len(self.hash) - 1, 0))
+        held = self.hash[spot] == key if len(self.hash) else np.zeros(len(key), bool)
+        return row[held], at[held] - offsets[row[held]], key[held]
+
+
+class Benchmark:
+    """One block of items: their q-grams, and whole those that are shorter."""
+
+    def __init__(self, items: list[tuple[int, bytes]], q: int, share: float) -> None:
+        self.items = [(i, folded(t)) for i, t in items if len(t)]
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.budget = np.array([edit_budget(len(t), q, share) for _, t in self.items], np.int64)
+        self.need = np.maximum(self.size - q + 1 - q * self.budget, 1)
+        numbered = [(n, t) for n, (_, t) in enumerate(self.items)]
+        self.all = GramIndex([x for x in numbered if len(x[1]) >= q], q)
+        # Items of one edit budget have bands of one width.
+        self.classes = []
+        for e in sorted({int(self.budget[n]) for n, t in numbered if len(t) >= q}):
+            own = np.flatnonzero(self.budget[self.all.owner] == e)
+            self.classes.append((e, self.all.hash[own], self.all.owner[own], self.all.place[own]))
+        self.short = []
+        for size in sorted({len(t) for _, t in numbered if len(t) < q}):
+            self.short.append(GramIndex([x for x in numbered if len(x[1]) == size], size))
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits) of every passage found."""
         data = FOLD[data]
-        grams = self.grams(data)
-        at = np.flatnonzero(self.present[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        low = np.searchsorted(self.hash, grams[at])
-        count = np.searchsorted(self.hash, grams[at], side="right") - low
-        at, low, count = at[count > 0], low[count > 0], count[count > 0]
-        row = np.searchsorted(offsets, at, side="right") - 1
-        whole = at + self.q <= offsets[row + 1]
-        at, low, count, row = at[whole], low[whole], count[whole], row[whole]
+        out = []
+        if len(self.all.hash):
+            row, at, key = self.all.find(data, offsets)
+            order = np.lexsort((at, key, row))
+            row, at, key = row[order], at[order], key[order]
+            for budget, hashes, owner, place in self.classes:
+                bands = self.full_bands(row, at, key, budget, hashes, owner, place)
+                out += self.aligned(data, offsets, budget, bands)
+        for index in self.short:
+            row, at, key = index.find(data, offsets)
+            for n in range(len(index.hash)):
+                own = key == index.hash[n]
+                ends: dict[int, int] = {}
+                for r, a in zip(row[own].tolist(), at[own].tolist()):
+                    if a >= ends.get(r, 0):
+                        ends[r] = a + index.q
+                        out.append((r, int(index.owner[n]), a, a + index.q, 0))
+        return out
+
+    def full_bands(self, row, at, key, budget, hashes, owner, place) -> list[tuple[int, int, int, int]]:
+        """(row, item, first band, last band) of runs of bands that hold enough distinct q-grams."""
+        low = np.searchsorted(hashes, key)
+        count = np.searchsorted(hashes, key, side="right") - low
+        held = count > 0
+        row, at, key, low, count = row[held], at[held], key[held], low[held], count[held]
+        if not len(row):
+            return []
+        width = budget + 1
+        # Places of one q-gram up to a band apart: no band between them holds neither.
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (at[1:] - at[:-1] > width)
+        begin = np.flatnonzero(fresh)
+        final = np.r_[begin[1:], len(row)] - 1
+        row, first, last, low, count = row[begin], at[begin], at[final], low[begin], count[begin]
+        out = []
+        total = np.cumsum(count)
+        cut = 0
+        while cut < len(row):
+            end = int(np.searchsorted(total, (total[cut - 1] if cut else 0) + SPREAD, side="right"))
+            # Whole rows, so that every band is counted in one go.
+            end = len(row) if end >= len(row) else int(np.searchsorted(row, row[max(end, cut)], side="left"))
+            if end <= cut:
+                end = int(np.searchsorted(row, row[cut], side="right"))
+            out += self.count_bands(row[cut:end], first[cut:end], last[cut:end], low[cut:end], count[cut:end], width, owner, place)
+            cut = end
+        return out
+
+    def count_bands(self, row, first, last, low, count, width, owner, place) -> list[tuple[int, int, int, int]]:
         spread = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        item, inner = self.owner[spread], self.place[spread]
-        row = np.repeat(row, count)
-        diagonal = np.repeat(at - offsets[row[np.cumsum(count) - count]] if len(count) else at, count) - inner
-        width = self.budget[item] + 1
-        band = np.floor_divide(diagonal, width)
-        # Bands of two widths, each overlapping its neighbours by half.
-        row, item, inner = np.tile(row, 2), np.tile(item, 2), np.tile(inner, 2)
-        band = np.r_[band, band - 1]
-        order = np.lexsort((inner, band, item, row))
-        row, item, inner, band = row[order], item[order], inner[order], band[order]
-        distinct = run_starts(row, item, band, inner)  # an item's q-gram counts once in a band
-        row, item, band = row[distinct], item[distinct], band[distinct]
-        begin = run_starts(row, item, band)
-        shared = np.diff(np.r_[begin, len(row)])
-        kept = begin[shared >= self.need[item[begin]]]
+        item, inner = owner[spread], place[spread]
+        row, first, last = (np.repeat(c, count) for c in (row, first, last))
+        # Band b holds the diagonals b w to (b + 2) w - 1, so each overlaps its neighbours by half.
+        start, stop = np.floor_divide(first - inner, width) - 1, np.floor_divide(last - inner, width)
+        order = np.lexsort((start, inner, item, row))
+        row, item, inner, start, stop = (c[order] for c in (row, item, inner, start, stop))
+        # A q-gram of the item counts once in a band: what an earlier interval of it holds is cut off.
+        same = np.zeros(len(row), bool)
+        same[1:] = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (inner[1:] == inner[:-1])
+        group = np.cumsum(~same)
+        shift = int(stop.max() - start.min()) + 2
+        upto = np.maximum.accumulate(stop + group * shift)
+        before = np.r_[start[0] - 1, upto[:-1] - group[1:] * shift]
+        start = np.where(same, np.maximum(start, before + 1), start)
+        keep = start <= stop
+        row, item, start, stop = row[keep], item[keep], start[keep], stop[keep]
+        # Where intervals begin and end, the number of q-grams changes.
+        r, n, b = np.tile(row, 2), np.tile(item, 2), np.r_[start, stop + 1]
+        change = np.r_[np.ones(len(start), np.int64), -np.ones(len(stop), np.int64)]
+        order = np.lexsort((b, n, r))
+        r, n, b, change = r[order], n[order], b[order], change[order]
+        point = run_starts(r, n, b)
+        level = np.cumsum(np.add.reduceat(change, point))  # back to zero behind each item's last interval
+        full = np.flatnonzero(level >= self.need[n[point]])
+        # A level holds up to the next point of the same row and item.
+        return [(int(r[point[i]]), int(n[point[i]]), int(b[point[i]]), int(b[point[i + 1]]) - 1) for i in full]
+
+    def aligned(self, data, offsets, budget: int, bands: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for r, n, b in zip(row[kept].tolist(), item[kept].tolist(), band[kept].tolist(), strict=True):
-            budget, w = int(self.budget[n]), int(self.budget[n]) + 1
-            text = data[offsets[r] : offsets[r + 1]]
-            first, last = b * w - budget, (b + 2) * w - 1 + budget
-            low_byte = max(first, 0)
-            region = text[low_byte : last + int(self.size[n]) + 1]
-            best = banded_alignment(self.items[n][1], region, first - low_byte, last - low_byte, budget)
-            if best is not None:
-                found.setdefault((r, n), []).append((best[2], best[0] + low_byte, best[1] + low_byte))
+        width = budget + 1
+        clear: dict[tuple[int, int], int] = {}  # behind a match without edits
+        for r, n, first_band, last_band in bands:
+            text, item = data[offsets[r] : offsets[r + 1]], self.items[n][1]
+            b = first_band
+            while b <= last_band:
+                # What begins inside a match without edits overlaps it and adds nothing.
+                free = clear.get((r, n), b * width - budget)
+                b = max(b, (free - budget) // width - 1)
+                if b > last_band:
+                    break
+                first, last = max(b * width - budget, free), (b + 2) * width - 1 + budget
+                low_byte = max(first, 0)
+                region = text[low_byte : last + len(item) + 1]
+                best = banded_alignment(item, region, first - low_byte, last - low_byte, budget)
+                if best is not None:
+                    found.setdefault((r, n), []).append((best[2], best[0] + low_byte, best[1] + low_byte))
+                    if best[2] == 0:
+                        clear[r, n] = max(clear.get((r, n), 0), best[1] + low_byte)
+                b += 1
         out = []
         for (r, n), places in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # apart and in order
             for edits, a, b in sorted(set(places)):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
+                i = bisect.bisect(taken, (a, b))
+                if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                    taken.insert(i, (a, b))
                     out.append((r, n, a, b, edits))
         return out
 
@@ -191,8 +307,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: floa
 
     One row for each separate place where an item occurs with at most
     min(share x bytes, (bytes - q) / q) edits after folding case and white space. Null and
-    empty texts contain nothing; items shorter than ``q`` bytes are not looked for; repeated
-    rows are each judged; other columns are ignored; empty tables give an empty result.
+    empty texts contain nothing and empty items occur nowhere; items shorter than ``q`` bytes are
+    found without edits, places that do not overlap from the left; repeated rows are each judged; other columns are ignored; empty tables give an empty result.
     Documents are not shuffled.
     """
     rows = docs.where("doc_id IS NOT NULL").select(
