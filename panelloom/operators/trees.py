@@ -54,7 +54,11 @@ PLAIN = ("mse", "softmax", "logistic")
 
 @dataclass(frozen=True)
 class TreeParams:
-    """``objective``: mse, squared_log, log_square, mape, log_abs, softmax or logistic."""
+    """``objective``: mse, squared_log, log_square, mape, log_abs, softmax or logistic.
+
+    ``null_unseen``: a row without a factor that no row of the fit lacked has no prediction;
+    else it goes right wherever that factor decides.
+    """
 
     objective: str = "mse"
     rounds: int = 50
@@ -68,6 +72,7 @@ class TreeParams:
     start: float = 0.0
     max_bins: int = 64
     seed: int = 0
+    null_unseen: bool = False
 
     @property
     def outputs(self) -> int:
@@ -196,12 +201,14 @@ def probabilities(f: np.ndarray) -> np.ndarray:
 @dataclass
 class TreeModel:
     """A fitted model: per round one tree per output. ``losses`` has the mean loss of the rows
-    after every round whose objective is line-searched."""
+    after every round whose objective is line-searched; ``unseen`` the factors that no row
+    of the fit lacked."""
 
     features: list[str]
     params: TreeParams
     trees: list[list[Tree]] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
+    unseen: list[str] = field(default_factory=list)
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
         """Scores of a matrix of factors (NaN: missing), (rows, outputs)."""
@@ -215,7 +222,10 @@ class TreeModel:
         """Every row scored. Classifiers also add ``probability``, an array by class."""
         scores = score_column([self])(*[F.col(c).cast("double") for c in self.features])
         if self.params.objective == "mse" or self.params.objective not in PLAIN:
-            return df.withColumn(output, scores[0])
+            known = F.lit(True)
+            for c in self.unseen if self.params.null_unseen else ():
+                known = known & F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).isNotNull()
+            return df.withColumn(output, F.when(known, scores[0]))
         if self.params.objective == "logistic":
             p = 1 / (1 + F.exp(-scores[0]))
             out = df.withColumn("_s", F.array(1 - p, p))
@@ -250,7 +260,7 @@ class TreeModel:
         """Nodes as a table and a line of JSON in ``metadata``, as Spark's own models have."""
         path = path.rstrip("/")
         self.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        text = json.dumps({"class": CLASS_NAME, "features": self.features, "params": asdict(self.params)})
+        text = json.dumps({"class": CLASS_NAME, "features": self.features, "params": asdict(self.params), "unseen": self.unseen})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
@@ -262,7 +272,7 @@ NODE_SCHEMA = (
 
 
 def load_trees(spark: SparkSession, path: str, about: dict) -> TreeModel:
-    model = TreeModel(about["features"], TreeParams(**about["params"]))
+    model = TreeModel(about["features"], TreeParams(**about["params"]), unseen=about["unseen"])
     number = {f: i for i, f in enumerate(model.features)}
     nodes = spark.read.parquet(f"{path.rstrip('/')}/nodes").orderBy("round", "output", "node").collect()
     for r in nodes:  # a model's nodes, not data
@@ -445,6 +455,7 @@ class Fit:
     trees: list[list[list[Tree]]]
     losses: list[list[float]]
     first: int = 0
+    unseen: dict[int, list[str]] = field(default_factory=dict)
 
     def columns(self) -> list[int]:
         """Where the outputs of each job start among the kept scores."""
@@ -562,6 +573,9 @@ def grow(fit: Fit, active: list[int], round_: int) -> dict[int, list[Tree]]:
             part = growing[i : i + turn]
             cells = histograms(fit, part, fresh, level, round_, n_bins)
             for j, a in enumerate(part):
+                if level == 0 and round_ == 0:
+                    lacking = cells[j, 0, 0, :, -1, 2]
+                    fit.unseen[a] = [c for c, n in zip(fit.data.features, lacking) if n == 0]
                 if split_level(cells[j], fresh[a], fit.jobs[a].params, cuts, level) and level + 1 < fit.jobs[a].params.max_depth:
                     still.append(a)
         growing = still
@@ -759,7 +773,8 @@ def fit_jobs(data: Binned, jobs: Sequence[Job]) -> list[TreeModel]:
             keep_scores(fit)
     fit.data.drop()
     return [
-        TreeModel(data.features, j.params, fit.trees[a][: j.params.rounds], fit.losses[a]) for a, j in enumerate(jobs)
+        TreeModel(data.features, j.params, fit.trees[a][: j.params.rounds], fit.losses[a], fit.unseen.get(a, []))
+        for a, j in enumerate(jobs)
     ]
 
 
