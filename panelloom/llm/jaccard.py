@@ -13,7 +13,7 @@ overlaps of each candidate pair are counted segment by segment and summed per pa
 Equal sets are one *class* from the first task on, so exact copies are never paired. Links
 inside a group that is already connected need no check: candidates are first compared with
 one partner, then ``STARS`` times with one partner for each shared shingle, and only pairs that are still in
-different groups are enumerated in full, position by position: a shared shingle counts only
+different groups are enumerated in full, each pair once, at its first shared shingle, and only
 where enough of both sets is left behind it to reach the overlap that their sizes need. So a group of near copies costs about as many pairs
 as it has members, and no link between different groups is lost.
 """
@@ -263,6 +263,20 @@ def verified(pairs: DataFrame, segments: DataFrame, threshold: tuple[int, int])
     return links, links_path
 
 
+def first_shared(labelled: DataFrame, alive: DataFrame, fits: str) -> DataFrame:
+    """Every pair of different groups that shares a shingle, made at the first one only.
+
+    Each row carries the shingles of its set before this one; a pair whose sets share one of
+    these has been made there. A pair that can be a link fits at its first shared shingle.
+    """
+    before = alive.select("cls", "prefix")
+    rows = labelled.join(before, "cls").withColumn("before", F.slice("prefix", F.lit(1), F.col("at"))).drop("prefix", "at")
+    names = {"root": "other", "cls": "a", "n": "na", "left": "la", "before": "earlier"}
+    found = rows.join(rows.select("token", *[F.col(c).alias(d) for c, d in names.items()]), "token")
+    found = found.where("root <> other AND a < cls").where(fits).where(~F.arrays_overlap("before", "earlier"))
+    return found.select("a", F.col("cls").alias("b"), "na", F.col("n").alias("nb"))
+
+
 def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD,
                  fragments: int | None = None) -> DataFrame:
     """Groups of documents linked by similar shingle sets.
@@ -282,14 +296,16 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
     packed = rows.mapInArrow(shingle_task(words, fragments), PACKED)
     shared, shared_path = stage(packed.groupBy("frag").applyInArrow(share_task(fragments), PACKED), "shared")
     members = shared.where("docs").select("keys").mapInArrow(unpack_docs, "doc_id long, n_shingles long, cls long")
+    members, members_path = stage(members, "members")
     alive, alive_path = stage(
         shared.where("NOT docs").groupBy("frag").applyInArrow(
             prefix_task(threshold), "cls long, n int, ahead int, prefix array<long>, shared array<long>"), "alive")
+    discard(spark, shared_path)
     cut = [F.expr(f"filter(shared, v -> pmod(v, {FRAGMENTS}) = {i})") for i in range(FRAGMENTS)]
     segments = alive.select("cls", F.array(*cut).alias("segments"))
     # left: shingles of the set from this one on, itself included, in the global order.
     tokens = alive.select("cls", "n", "ahead", F.posexplode("prefix").alias("at", "token")).select(
-        "cls", "n", "token", (F.col("n") - F.col("ahead") - F.col("at")).alias("left"))
+        "cls", "n", "token", "at", (F.col("n") - F.col("ahead") - F.col("at")).alias("left"))
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     tokens, tokens_path = stage(tokens.join(rare, "token", "left_semi"), "tokens")
     top, bottom = threshold
@@ -307,7 +323,7 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
     pivots = tokens.groupBy("token").agg(F.min(F.struct(*partner)).alias("p")).select("token", "p.*")
     one = paired(tokens, pivots, "a <> cls").groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("p")).select("p.*", "b", "nb")
     links, links_path = verified(one, segments, threshold)
-    paths = [shared_path, alive_path, tokens_path, links_path]
+    paths = [members_path, alive_path, tokens_path, links_path]
     for turn in range(STARS + 1):
         groups = components(links)
         labelled = tokens.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn(
@@ -316,7 +332,7 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int]
         labelled = labelled.join(open_tokens.select("token"), "token", "left_semi")
         others = labelled.select("token", F.col("root").alias("other"), *partner)
         if turn == STARS:
-            pairs = paired(labelled, others, "root <> other AND a < cls")
+            pairs = first_shared(labelled, alive, fits)
         else:
             # A member of the smallest group, another one for each shingle and turn.
             draw = F.xxhash64(F.lit(turn), "token", "a")
