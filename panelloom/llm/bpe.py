@@ -10,8 +10,9 @@ kept as three tables: the state of each token, the arcs withdrawn from each stat
 time they were withdrawn, and for each token the merge (time, left part) that made its arc.
 An arc that a later gadget copies depends on the arc of its left part at that time, so an
 arc is present if neither it nor, at those times, its left parts were withdrawn; every
-answer is entered in a transition table. Words are encoded by running all prefixes through
-that table; decoding emits the labels of the arcs.
+answer is entered in a transition table. The unseen words of a batch are encoded together:
+position by position, the states of all words take their transitions as array gathers, until
+every prefix has the arc that ends its only path. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -28,9 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 120_000  # words remembered per worker in each of two generations
-CACHE_ARCS = 250_000  # transitions remembered per worker
+CACHE_BYTES = 48 << 20  # of words remembered per worker in each of two generations
+ENTRY_BYTES = 300  # of a remembered word beside its characters
+CACHE_ARCS = 250_000  # transitions remembered per worker for words run one by one
+ARC_SLOTS = 1 << 20  # of the transition table for words run together
+TOGETHER = 48  # bytes of the longest word that is run together with others
+WORDS = 1 << 16  # run together at a time
 ROWS = 500  # encoded at a time
+SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd factor that spreads keys over slots
 
 
 def byte_symbols() -> list[str]:
@@ -96,6 +102,73 @@ class TokenAutomaton:
             for symbol in label:
                 node = node.setdefault(symbol, {})
             node[""] = token
+        self._lay_out()
+        self.state_array = np.array(self.state, dtype=np.int64)
+        self.arc_keys = np.full(ARC_SLOTS, -1, dtype=np.int64)
+        self.arc_values = np.zeros(ARC_SLOTS, dtype=bool)
+
+    def _lay_out(self) -> None:
+        """The prefix tree of the labels as arrays: a hash table of (node, symbol) and the
+        token of each node. A byte that ends its word is a symbol of its own (256 more)."""
+        code = {s: b for b, s in enumerate(self.symbols)}
+        if self.suffix:
+            code |= {s + self.suffix: b + 256 for b, s in enumerate(self.symbols)}
+        tokens, edges, todo = [-1], [], [(0, self.trie)]
+        while todo:
+            at, node = todo.pop()
+            for symbol, child in node.items():
+                if symbol == "":
+                    tokens[at] = child
+                elif symbol in code:
+                    edges.append((at * 512 + code[symbol], len(tokens)))
+                    todo.append((len(tokens), child))
+                    tokens.append(-1)
+        self.token_of = np.array(tokens, dtype=np.int64)
+        self.tree_shift = np.uint64(64 - max(1, (4 * len(edges)).bit_length()))
+        size = 1 << (64 - int(self.tree_shift))
+        self.tree_keys = np.full(size, -1, dtype=np.int64)
+        self.tree_children = np.full(size, -1, dtype=np.int64)
+        keys = np.array([k for k, _ in edges], dtype=np.int64)
+        for slot, (key, child) in zip(self._slots(keys, self.tree_shift).tolist(), edges, strict=True):
+            while self.tree_keys[slot] >= 0:
+                slot = (slot + 1) % size
+            self.tree_keys[slot] = key
+            self.tree_children[slot] = child
+
+    @staticmethod
+    def _slots(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return ((keys.astype(np.uint64) * SPREAD) >> shift).astype(np.int64)
+
+    def children(self, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Children of nodes in the prefix tree; -1 where there is none."""
+        keys = nodes * 512 + symbols
+        slots = self._slots(keys, self.tree_shift)
+        held = self.tree_keys[slots]
+        out = np.where(held == keys, self.tree_children[slots], -1)
+        rest = np.flatnonzero((held != keys) & (held >= 0))
+        while rest.size:
+            slots[rest] = (slots[rest] + 1) % len(self.tree_keys)
+            held = self.tree_keys[slots[rest]]
+            same = held == keys[rest]
+            out[rest[same]] = self.tree_children[slots[rest[same]]]
+            rest = rest[~same & (held >= 0)]
+        return out
+
+    def have_arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Which arcs are there, by the transition table; an arc that it does not hold is
+        worked out and takes its slot."""
+        keys = states * self.width + tokens
+        slots = self._slots(keys, np.uint64(64 - (ARC_SLOTS - 1).bit_length()))
+        out = self.arc_values[slots]
+        missed = np.flatnonzero(self.arc_keys[slots] != keys)
+        if missed.size:
+            new, where = np.unique(keys[missed], return_inverse=True)
+            found = np.array([self.present(*divmod(k, self.width)) for k in new.tolist()], dtype=bool)
+            out[missed] = found[where]
+            self.arc_keys[slots[missed]] = keys[missed]
+            # Of keys with one slot the last stays; its value must be its own.
+            self.arc_values[slots[missed]] = out[missed]
+        return out
 
     def _point(self, token: int, state: int, owners: dict[int, int]) -> None:
         owners[self.state[token]] -= 1
@@ -177,6 +250,73 @@ class TokenAutomaton:
             out.append(token)
         return out[::-1]
 
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """``encode_word`` of many words, short ones together and long ones one by one."""
+        out: list[list[int]] = [[]] * len(words)
+        raw = [w.encode("utf-8") for w in words]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        for i in np.flatnonzero(sizes > TOGETHER).tolist():
+            out[i] = self.encode_word(words[i])
+        short = np.flatnonzero((sizes <= TOGETHER) & (sizes > 0))
+        for first in range(0, len(short), WORDS):
+            part = short[first : first + WORDS]
+            part = part[np.argsort(-sizes[part], kind="stable")]
+            picked = part.tolist()
+            for i, ids in zip(picked, self._run_together([raw[i] for i in picked], sizes[part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _run_together(self, raw: list[bytes], sizes: np.ndarray) -> list[list[int]]:
+        """Words by falling length: the words that have a symbol at a position come first."""
+        n, longest = len(raw), int(sizes[0])
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        counts = np.searchsorted(-sizes, -np.arange(longest + 1), side="left")  # words longer than that
+        symbols = []
+        for at in range(longest):
+            row = data[starts[: counts[at]] + at].astype(np.int64)
+            if self.suffix:
+                row[counts[at + 1] :] += 256
+            symbols.append(row)
+        last = np.full((longest + 1, n), -1, dtype=np.int64)  # token that ends a prefix
+        origin = np.zeros((longest + 1, n), dtype=np.int8)  # where that token starts
+        for at in range(longest):
+            if at:
+                picked = np.flatnonzero(last[at, : counts[at]] >= 0)
+                states = self.state_array[last[at, picked]]
+            else:
+                picked = np.arange(n)
+                states = np.zeros(n, dtype=np.int64)
+            nodes = np.zeros(len(picked), dtype=np.int64)
+            end = at
+            while picked.size and end < longest:
+                longer = int(np.searchsorted(picked, counts[end]))
+                picked, states = picked[:longer], states[:longer]
+                nodes = self.children(nodes[:longer], symbols[end][picked])
+                more = nodes >= 0
+                picked, states, nodes = picked[more], states[more], nodes[more]
+                end += 1
+                tokens = self.token_of[nodes]
+                ends = np.flatnonzero((tokens >= 0) & (last[end, picked] < 0))
+                ends = ends[self.have_arcs(states[ends], tokens[ends])]
+                last[end, picked[ends]] = tokens[ends]
+                origin[end, picked[ends]] = at
+        # Walk the paths back from the word ends, all words a step at a time.
+        words, at, steps = np.arange(n), sizes.copy(), []
+        while words.size:
+            ids = last[at, words]
+            steps.append((words, ids))
+            at = origin[at, words].astype(np.int64)
+            more = at > 0
+            words, at = words[more], at[more]
+        owner = np.concatenate([w for w, _ in steps])
+        ids = np.concatenate([t for _, t in steps])
+        turn = np.repeat(np.arange(len(steps)), [len(w) for w, _ in steps])
+        order = np.lexsort((-turn, owner))
+        flat = ids[order].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=n)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def decode(self, ids: list[int]) -> str:
         """Arc labels joined by one space, as a file without a decoder prescribes."""
         return " ".join(self.labels[i] for i in ids)
@@ -209,13 +349,13 @@ def normalized(text: str) -> str:
     return lowered(text)
 
 
-def class_ranges(kind: str) -> str:
-    """A character class as ranges by Python's Unicode tables.
+def class_ranges(kind: str, last: int = sys.maxunicode) -> str:
+    """A character class as ranges by Python's Unicode tables, up to a code point.
 
     The pattern library's tables are newer and count as letters what the vocabulary
     files' own library does not know yet.
     """
-    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+    points = [c for c in range(last + 1) if unicodedata.category(chr(c))[0] == kind]
     out, first = [], 0
     for i in range(1, len(points) + 1):
         if i == len(points) or points[i] != points[i - 1] + 1:
@@ -224,70 +364,95 @@ def class_ranges(kind: str) -> str:
     return "".join(out)
 
 
+Part = tuple[int, str, str]  # tokens, ids, labels
+
+
 class Encoder:
     """Normalises, splits into words and encodes; remembers what it has seen.
 
     Words never hold white space, so whole runs of other characters are remembered. The
-    memory has two generations: when the young one is full it becomes the old one, and
-    frequent runs move back on their next use.
+    memory has two generations, each bounded in bytes (and one call's runs): when the young
+    one is full it becomes the old one, and frequent runs move back on their next use.
     """
 
     def __init__(self, spec: dict) -> None:
         self.automaton = TokenAutomaton(spec)
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        pattern = split["pattern"]["Regex"]
+        pattern = simple = split["pattern"]["Regex"]
         for kind in "LN":
             pattern = pattern.replace(rf"\p{{{kind}}}", class_ranges(kind))
+            simple = simple.replace(rf"\p{{{kind}}}", class_ranges(kind, 0x7F))
         self.words = regex.compile(pattern).findall
+        self.ascii_words = regex.compile(simple).findall  # the same on ASCII, with short classes
         special = self.automaton.special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
-
-    def run(self, run: str) -> tuple[int, str, str]:
-        """(tokens, ids, labels) of a run without white space."""
-        found = self.old.get(run)
-        if found is None:
-            words = (run,) if run.isalpha() else self.words(run)
-            ids = [i for w in words for i in self.automaton.encode_word(w)]
-            found = (len(ids), " ".join(map(str, ids)), self.automaton.decode(ids))
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[run] = found
-        return found
-
-    def plain(self, text: str) -> list[tuple[int, str, str]]:
+        self.numbers = {i: str(i) for i in self.automaton.labels}
+        self.young: dict[str, Part] = {}
+        self.old: dict[str, Part] = {}
+        self.held = 0
+
+    def learn(self, runs: set[str]) -> None:
+        """Enters runs without white space that are not remembered yet."""
+        if self.held >= CACHE_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old = self.young, self.old
+        new = []
+        for run in runs:
+            if run not in young:
+                found = old.get(run)
+                if found is None:
+                    new.append(run)
+                else:
+                    young[run] = found
+                    self.held += ENTRY_BYTES + len(run) + len(found[1]) + len(found[2])
+        words, owners = [], []
+        for i, run in enumerate(new):
+            if run.isalpha():
+                words.append(run)
+                owners.append(i)
+            else:
+                cut = self.ascii_words(run) if run.isascii() else self.words(run)
+                words += cut
+                owners += [i] * len(cut)
+        ids_of: list[list[int]] = [[]] * len(new)
+        for i, ids in zip(owners, self.automaton.encode_words(words), strict=True):
+            ids_of[i] = ids_of[i] + ids if ids_of[i] else ids
+        labels, numbers = self.automaton.labels, self.numbers
+        for run, ids in zip(new, ids_of, strict=True):
+            a, b = " ".join([numbers[i] for i in ids]), " ".join([labels[i] for i in ids])
+            young[run] = (len(ids), a, b)
+            self.held += ENTRY_BYTES + len(run) + len(a) + len(b)
+
+    def runs(self, text: str) -> list[str]:
         text = normalized(text)
-        if NOT_SPACE.search(text):
-            runs = self.words(text)
-        else:
-            runs = text.split()
-        get, run = self.young.get, self.run
-        out = []
-        for r in runs:
-            found = get(r)
-            if found is None:
-                found = run(r)
-                get = self.young.get
-            out.append(found)
-        return out
+        return self.words(text) if NOT_SPACE.search(text) else text.split()
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for n, ids, _ in self.parts(text) if n for i in ids.split(" ")]
-
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(tokens, ids, labels) of every word in order."""
+    def cut_up(self, text: str) -> list[str | Part]:
+        """Runs of a text in order; added tokens as finished parts."""
         special = self.automaton.special
         if self.cut is None or not any(s in text for s in special):
-            return self.plain(text)
-        out = []
+            return self.runs(text)
+        out: list[str | Part] = []
         for piece in self.cut.split(text):
             if piece in special:
                 out.append((1, str(special[piece]), piece))
             elif piece:
-                out += self.plain(piece)
+                out += self.runs(piece)
         return out
 
+    def parts(self, texts: list[str]) -> Iterator[list[Part]]:
+        """(tokens, ids, labels) of every run in order, for each text; runs without tokens
+        are left out."""
+        cut = [self.cut_up(t) for t in texts]
+        self.learn({r for runs in cut for r in runs if type(r) is str})
+        young = self.young
+        for runs in cut:
+            found = [r if type(r) is tuple else young[r] for r in runs]
+            yield [p for p in found if p[0]]
+
+    def encode(self, text: str) -> list[int]:
+        return [int(i) for p in next(self.parts([text])) for i in p[1].split(" ")]
+
 
 OUTPUT = pa.schema([
     ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
@@ -297,10 +462,9 @@ OUTPUT = pa.schema([
 
 def encoded(batch: pa.RecordBatch, encoder: Encoder, keep: bool) -> pa.RecordBatch:
     columns: list[list] = [[] for _ in range(6 if keep else 4)]
-    for text in batch.column("text"):
-        parts = encoder.parts(text.as_py() or "")
-        ids = " ".join([p[1] for p in parts if p[0]])
-        decoded = " ".join([p[2] for p in parts if p[0]])
+    for parts in encoder.parts([text or "" for text in batch.column("text").to_pylist()]):
+        ids = " ".join([p[1] for p in parts])
+        decoded = " ".join([p[2] for p in parts])
         columns[1].append(sum([p[0] for p in parts]))
         columns[2].append(hashlib.sha256(ids.encode()).hexdigest())
         columns[3].append(hashlib.sha256(decoded.encode()).hexdigest())
@@ -343,7 +507,7 @@ def bpe_encode(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
     content is broadcast (its size is the vocabulary's). Null text counts as empty: no
     tokens and the digests of an empty string. Rows are independent: repeated ids and rows
     stay, an empty table gives an empty result, other columns are ignored. Nothing is
-    shuffled; memory is one Arrow batch and the word memory of ``CACHE_WORDS`` words.
+    shuffled; memory is one Arrow batch and the word memory of twice ``CACHE_BYTES``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_spec(path))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -50,6 +50,21 @@ def test_encoding_equals_the_library(tokenizer):
         assert encoder.automaton.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_words_run_together_equal_words_run_alone(tokenizer):
+    """Short and long words, repeats and an empty one; the memory turns over between calls."""
+    encoder = bpe.Encoder(bpe.load_spec(VOCABULARY))
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinsé日") for _ in range(rng.choice([1, 2, 5, 9, 30, 47, 48, 49, 200]))) for _ in range(500)]
+    words += ["", *words[:50]]
+    assert encoder.automaton.encode_words(words) == [encoder.automaton.encode_word(w) for w in words]
+    encoder.automaton.arc_keys[:] = -1
+    for turn in range(3):
+        encoder.held = bpe.CACHE_BYTES
+        found = list(encoder.parts([" ".join(words[turn * 100 :]), "", words[3]]))
+        want = tokenizer.encode(" ".join(words[turn * 100 :]), add_special_tokens=False).ids
+        assert [int(i) for p in found[0] for i in p[1].split(" ")] == want and found[1] == []
+
+
 def test_automaton_agrees_with_merging():
     """Small merge lists, all strings: the path equals merging by rank."""
     merges = ["a a", "b a", "a b", "aa b", "ba ab", "aa aa"]
@@ -76,6 +91,7 @@ def test_automaton_agrees_with_merging():
                         i += 1
                 parts = out
             assert automaton.encode_word(word) == [vocab[p] for p in parts], word
+            assert automaton.encode_words([word]) == [[vocab[p] for p in parts]], word
 
 
 def test_encoding_of_awkward_rows(documents, tokenizer):
