@@ -9,7 +9,8 @@ hash) into one text, and knows from the documents of that text which copies go w
 is left are the different texts around one anchor.
 
 Shard arrays. These texts are fetched from their documents and dealt to shards by anchor. A
-shard joins its texts, sorts all suffixes by induced sorting (classify suffixes as larger or
+shard leaves out texts of which no window's 64-bit hash occurs in another document (equal
+windows have equal hashes, so none of these can repeat), joins the others, sorts all suffixes by induced sorting (classify suffixes as larger or
 smaller than the next, sort the leftmost smaller ones first, induce all others from them),
 computes the permuted common prefixes (in text order, by the suffix that precedes each one)
 and so finds runs of suffixes with ``length`` equal bytes; a window goes if the smallest
@@ -32,6 +33,7 @@ LENGTH = 50
 GRAM = 16
 PIECE = 1 << 20  # window starts looked at together
 FLUSH = 1_000_000  # runs a task gathers before it deals them
+FEW = 6  # suffixes that are dealt to their buckets one by one
 SMALL = 64  # below this alphabet or text size induced sorting has no gain over doubling
 
 
@@ -76,6 +78,7 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, alphabet: int) -
     order of a one-by-one scan is kept.
     """
     n = len(s)
+    symbol_at, small_at = s.item, small.item
     seed_bucket: list[np.ndarray] = np.split(seeds, np.searchsorted(s[seeds], np.arange(1, alphabet)))
 
     def sweep(order: range, start: Callable[[int], list[np.ndarray]], want_small: bool, flip: bool) -> list[list[np.ndarray]]:
@@ -83,6 +86,16 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, alphabet: int) -
 
         def push(items: np.ndarray, symbol: int) -> np.ndarray:
             """Deal what precedes ``items``; returns those with the same symbol."""
+            if len(items) <= FEW:
+                same_few = []
+                for item in items.tolist():
+                    if item and small_at(item - 1) == want_small:
+                        c = symbol_at(item - 1)
+                        if c == symbol:
+                            same_few.append(item - 1)
+                        else:
+                            buckets[c].append(np.array([item - 1]))
+                return np.array(same_few, dtype=np.int64)
             before = items[items > 0] - 1
             before = before[small[before] == want_small]
             symbols = s[before]
@@ -90,9 +103,11 @@ def induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, alphabet: int) -
             other = symbols != symbol
             before, symbols = before[other], symbols[other]
             if len(before):
-                by, found, cut = by_key(symbols)
-                for i, c in enumerate(found):
-                    buckets[c].append(before[by[cut[i] : cut[i + 1]]])
+                by = symbols.argsort(kind="stable")
+                before, symbols = before[by], symbols[by]
+                cut = [0, *((symbols[1:] != symbols[:-1]).nonzero()[0] + 1).tolist(), len(symbols)]
+                for c, a, b in zip(symbols[cut[:-1]].tolist(), cut[:-1], cut[1:], strict=True):
+                    buckets[c].append(before[a:b])
             return same
 
         for c in order:
@@ -454,11 +469,27 @@ def fetch_task(fragments: int) -> Callable:
     return run
 
 
+def may_repeat(raw: np.ndarray, offsets: np.ndarray, document: np.ndarray, length: int) -> np.ndarray:
+    """Texts with a window whose hash occurs in another document, too."""
+    windows = np.maximum(np.diff(offsets) - length + 1, 0)
+    owner = np.repeat(np.arange(len(windows)), windows)
+    out = np.zeros(len(windows), bool)
+    if len(owner):
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[owner]
+        hasher = SpanHasher()
+        hashes = hasher.spans(hasher.prefix(raw), start, start + length)
+        out[owner[several(hashes, document[owner])]] = True
+    return out
+
+
 def shard_task(blocks: int, length: int, gram: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         doc = joined(table.column("docs"), np.int64)
         start, size = joined(table.column("starts"), np.int64), joined(table.column("sizes"), np.int64)
         raw, _ = binary_column(table.column("bytes"))
+        chosen = may_repeat(raw, np.r_[0, np.cumsum(size)], doc, length)
+        raw = raw[np.repeat(chosen, size)]
+        doc, start, size = doc[chosen], start[chosen], size[chosen]
         offsets = np.r_[0, np.cumsum(size)]
         text, window = covered_windows(raw, offsets, doc, length)
         out = []
