@@ -3,7 +3,8 @@
 Every element's subtree is hashed (tag, class, id and all it holds). Spark counts on how
 many pages of a host each hash occurs; subtrees that recur on many pages of their host are
 template and are deleted before the text is taken. Menus, forms, adverts and the like are
-also known by their tags, roles and class names, as a host may have only one page.
+also known by their tags, roles and class names, as a host may have only one page; inside the
+article a class name must say nothing else, and paragraphs stay whatever their class but advert.
 
 Inside the article element a recurring *text block* (paragraph, heading, list, quotation) is
 kept: pages may share passages, and these belong to their articles.
@@ -51,6 +52,13 @@ DROPPED_WORDS = frozenset(
     " popup promo promoted share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 
+# Words that may stand beside those in a class name without a meaning of their own, and what
+# marks even a paragraph of an article as an advert (fixed values).
+PLAIN_WORDS = frozenset("area bar block box button buttons container form links list section slot wrap wrapper".split())
+ADVERT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising sponsored".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dl li dt dd table caption tbody thead tr td th figure"
+                      " figcaption b i em strong a span code".split())
+
 PARTS = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
@@ -73,7 +81,24 @@ class Node:
         self.digest = 0
 
 
-def unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def named_unwanted(tag: str, named: str, inside: bool) -> bool:
+    """Do class and id say that an element is no article text?
+
+    Outside the article any word of them decides. Inside article or main a name must
+    say nothing else (``cookie-notice`` and ``ad-slot``, not ``menu-history``), and
+    paragraphs, headings, tables and inline elements go as adverts only.
+    """
+    if not inside:
+        return not DROPPED_WORDS.isdisjoint(WORDS.findall(named))
+    for name in named.split():
+        words = set(WORDS.findall(name))
+        telling = words - PLAIN_WORDS
+        if telling and telling <= (ADVERT_WORDS if tag in TEXT_TAGS else DROPPED_WORDS):
+            return True
+    return False
+
+
+def unwanted(tag: str, attrs: dict[str, str], in_article: bool, inside: bool) -> bool:
     if tag in DROPPED_TAGS or (tag == "header" and not in_article) or "hidden" in attrs:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -83,14 +108,14 @@ def unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return bool(named.strip()) and not DROPPED_WORDS.isdisjoint(WORDS.findall(named))
+    return bool(named.strip()) and named_unwanted(tag, named, inside)
 
 
 def parse(page: str) -> Node:
     """A tree that holds every element; unclosed and stray tags are mended as browsers do."""
     root = Node("", "", False)
     stack = [root]
-    articles = 0
+    articles = mains = 0
     at = 0
     scan = PARTS.search
     while True:
@@ -115,6 +140,7 @@ def parse(page: str) -> Node:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     articles -= sum(n.tag == "article" for n in stack[i:])
+                    mains -= sum(n.tag == "main" for n in stack[i:])
                     del stack[i:]
                     break
             continue
@@ -135,7 +161,7 @@ def parse(page: str) -> Node:
                     break
         attrs = attributes(m[3]) if m[3] and not m[3].isspace() else {}
         node = Node(tag, f"{attrs.get('class', '')}|{attrs.get('id', '')}" if attrs else "",
-                    unwanted(tag, attrs, articles > 0))
+                    unwanted(tag, attrs, articles > 0, articles + mains > 0))
         stack[-1].parts.append(node)
         if tag in VOID:
             continue
@@ -147,6 +173,7 @@ def parse(page: str) -> Node:
         if not m[3].rstrip().endswith("/") or tag in BLOCKS:
             stack.append(node)
             articles += tag == "article"
+            mains += tag == "main"
     return root
 
 

@@ -214,6 +214,17 @@ def test_main_text():
     assert html_text.main_text("<p>unclosed <b>x<p>y<article><p>in") == "in"
 
 
+def test_class_names_inside_the_article():
+    """A word in a class name does not delete article text; a name that says nothing else does."""
+    kept = """<p class="notice">one</p><section class="menu-history"><h2 id="share-prices">two</h2></section>
+        <div class="comment-count"><p>three</p></div><ul class="ad-hoc"><li>four</li></ul>"""
+    gone = """<div class="cookie-notice">a</div><div class="ad">b</div><section id="comments"><p>c</p></section>
+        <div class="x ad-slot">d</div><p class="advert">e</p><ul class="share-links"><li>f</li></ul>"""
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<div class=menu>m</div><{tag}>{kept}{gone}</{tag}><p class=footer>z</p>") == "one two three four"
+    assert html_text.main_text("<div class='site-menu'>m</div><div>text</div>") == "text"
+
+
 def test_site_templates_go(spark):
     frame = "<html><body><div><p>Welcome to this site, dear guest</p><span>Version 7</span></div>{}</body></html>"
     table = [(i, f"http://h.org/{i}", frame.format(f"<div><p>Story number {i} of many</p></div>")) for i in range(20)]
