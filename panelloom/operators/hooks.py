@@ -59,7 +59,7 @@ def parts_of(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
     sizes = sizes.withColumn("_parts", F.when(F.col("_n") > limit, F.ceil(2 * F.col("_n") / limit)).otherwise(1))
     same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in by]
     joined = df.alias("_l").join(side(sizes).alias("_r"), same).select("_l.*", "_r._parts")
-    row = F.pmod(F.monotonically_increasing_id() * F.lit(2654435761), F.col("_parts"))
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts"))
     return joined.withColumn("_part", row).drop("_parts")
 
 

@@ -116,6 +116,13 @@ def test_group_functions(grouped):
     assert sum(sizes) == 90 and max(sizes) <= 10
 
 
+def test_rows_of_later_partitions_are_dealt(spark):
+    # The row ids of the last of many partitions are far beyond 32 bits.
+    rows = spark.range(0, 4000, 1, 40).selectExpr("CAST(id % 2 AS INT) AS g", "CAST(id AS DOUBLE) AS v")
+    sizes = [r["count"] for r in hooks.parts_of(rows, ["g"], 200).groupBy("g", "_part").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 200 and len(sizes) == 40
+
+
 def test_large_groups_are_named(grouped):
     with pytest.raises(ValueError, match="has 27 rows, at most 5"):
         hooks.apply_groups(grouped, ["g"], total, "g int, s double, n long", limit=5)
