@@ -361,6 +361,21 @@ def test_repeated_passages(documents):
     assert windows.repeated_passages(documents()).count() == 0
 
 
+def test_passages_between_documents_that_are_not_the_smallest(documents):
+    # Thirty smaller documents hold every shingle of the passage, far apart, and repeat it nowhere.
+    passage = prose(50, 90).split()
+    changed = list(passage)
+    changed[40] = "other"
+    apart = [(i, " ".join(" ".join(passage[j : j + 9]) + " " + prose(1000 * i + j, 60) for j in range(0, 90, 5)))
+             for i in range(1, 31)]
+    docs = [*apart, (40, prose(51, 30) + " " + " ".join(passage)), (41, prose(52, 40) + " " + " ".join(changed)),
+            (42, " ".join(passage[5:]) + " " + prose(53, 20)), (43, prose(54, 80))]
+    got = windows.repeated_passages(documents(*docs)).collect()
+    pairs = {(r["doc_id"], r["partner_id"]) for r in got}
+    assert {(41, 40), (42, 40)} <= pairs <= {(41, 40), (42, 40), (42, 41)}
+    assert all(r["end_word"] - r["start_word"] >= 50 and r["similarity"] >= 0.75 for r in got)
+
+
 # ---- 8: embeddings ------------------------------------------------------------------------
 
 
