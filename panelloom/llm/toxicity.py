@@ -179,16 +179,16 @@ def train_pu(positive: Rows, unlabelled: Rows, prior: float, s: PuSettings) -> t
     return w, bias
 
 
-def telling(positive: Rows, unlabelled: Rows, counts: np.ndarray, s: PuSettings) -> np.ndarray:
+def telling(positive: pa.Table, unlabelled: pa.Table, counts: np.ndarray, s: PuSettings) -> np.ndarray:
     """Weight 0..1 of each cell: how far its shares in the two samples lie apart.
 
     Cells seen in fewer than ``least`` training documents, or whose shares differ by less
     than ``border`` standard errors, get 0.
     """
-    p = np.bincount(positive.cell, minlength=1 << BITS) / positive.n
-    u = np.bincount(unlabelled.cell, minlength=1 << BITS) / unlabelled.n
-    both = (p * positive.n + u * unlabelled.n + 1) / (positive.n + unlabelled.n + 2)
-    error = np.sqrt(both * (1 - both) * (1 / positive.n + 1 / unlabelled.n))
+    p, u = (sum(np.bincount(joined(c, np.int32), minlength=1 << BITS) for c in side.column("cells").chunks) / side.num_rows
+            for side in (positive, unlabelled))
+    both = (p * positive.num_rows + u * unlabelled.num_rows + 1) / (positive.num_rows + unlabelled.num_rows + 2)
+    error = np.sqrt(both * (1 - both) * (1 / positive.num_rows + 1 / unlabelled.num_rows))
     z = np.abs(p - u) / error
     z[counts < s.least] = 0
     return np.where(z > s.border, np.minimum(z / 20, 1), 0).astype(np.float32)
@@ -213,7 +213,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSe
     cells = texts.select("text").mapInArrow(frequency_task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << BITS)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.float64)
-    known = texts.join(marks, "doc_id", "left")
+    known = texts.select("doc_id").join(marks, "doc_id", "left")
     total = known.agg(
         F.count(F.lit(1)).alias("n"), F.count("toxic").alias("labelled"),
         F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("positive"),
@@ -228,26 +228,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: PuSettings = PuSe
     pool = free if free >= 100 else total["n"] - total["positive"]
     rank = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # The expected size stays a tenth below the bound; the limit holds it in any case.
-    sample = known.where((F.col("toxic") == 1) & (rank < 0.9 * settings.positives / total["positive"])).limit(settings.positives)
-    sample = sample.select(F.lit(1).alias("toxic"), "text").union(
-        known.where(as_unlabelled & (rank < 0.9 * settings.unlabelled / max(pool, 1))).limit(settings.unlabelled)
-        .select(F.lit(0).alias("toxic"), "text")
-    )
+    # Only ids meet the labels; the few chosen ones then go to the texts.
+    chosen = known.select("doc_id", F.when((F.col("toxic") == 1) & (rank < 0.9 * settings.positives / total["positive"]), 1).when(
+        as_unlabelled & (rank < 0.9 * settings.unlabelled / max(pool, 1)), 0).alias("toxic")).where("toxic IS NOT NULL").distinct()
+    picked = texts.alias("t").join(F.broadcast(chosen.alias("c")), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))).select("toxic", "text")
+    sample = picked.where("toxic = 1").limit(settings.positives).union(picked.where("toxic = 0").limit(settings.unlabelled))
     rows = sample.mapInArrow(feature_task, "toxic int, cells binary, weights binary").toArrow()
     kinds = rows.column("toxic").to_numpy()
-
-    def part(kind: int) -> Rows:
-        chosen = rows.filter(pa.array(kinds == kind))
-        size = np.diff(binary_column(chosen.column("cells"))[1]) // 4
-        return Rows.scaled(np.repeat(np.arange(len(size)), size), joined(chosen.column("cells"), np.int32).astype(np.int64),
-                    joined(chosen.column("weights"), np.float32), len(size), rarity)
-
-    everything, rarity = rarity, np.ones(1 << BITS, np.float32)
-    positive, unlabelled = part(1), part(0)
-    if not positive.n or not unlabelled.n:
-        return ToxicityModel(np.zeros(1 << BITS), everything, -30.0)
-    rarity = everything * telling(positive, unlabelled, counts, settings)
-    positive, unlabelled = part(1), part(0)
+    sides = [rows.filter(pa.array(kinds == kind)) for kind in (1, 0)]
+    del rows
+    if not sides[0].num_rows or not sides[1].num_rows:
+        return ToxicityModel(np.zeros(1 << BITS), rarity, -30.0)
+    rarity = rarity * telling(*sides, counts, settings)
+
+    def part(chosen: pa.Table) -> Rows:
+        """Rows of the telling cells, chunk by chunk: the driver never holds the others unpacked."""
+        parts, n = [], 0
+        for batch in chosen.to_batches():
+            size = np.diff(binary_column(batch.column("cells"))[1]) // 4
+            held = Rows.scaled(np.repeat(np.arange(len(size)), size), joined(batch.column("cells"), np.int32),
+                               joined(batch.column("weights"), np.float32), len(size), rarity)
+            parts.append((held.document + n, held.cell, held.value))
+            n += len(size)
+        return Rows(*(np.concatenate(c) for c in zip(*parts, strict=True)), n)
+
+    positive, unlabelled = part(sides[0]), part(sides[1])
+    del sides
     learn = np.arange(unlabelled.n) % 3 > 0 if unlabelled.n >= 300 else np.ones(unlabelled.n, bool)
     weights, bias = train_pu(positive, unlabelled.only(learn), prior, settings)
     # Move the border so that the share called toxic among unlabelled text that was not

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 import os
 
 import numpy as np
@@ -462,3 +463,15 @@ def test_negative_part_of_the_risk_is_held_at_zero():
     unlabelled = toxicity.Rows(document, cell, np.ones(40, np.float32), 40)
     w, bias = toxicity.train_pu(positive, unlabelled, 0.5, toxicity.PuSettings(epochs=20, batches=2))
     assert np.isfinite(w).all() and w[1] + bias > w[2] + bias
+
+
+def test_toxicity_keeps_the_unpacked_sample_small(spark):
+    rng = np.random.default_rng(9)
+    texts = [(i, " ".join(f"w{w}" for w in rng.integers(0, 10000, 6000))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+    tracemalloc.start()
+    toxicity.fit_toxicity(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 56 << 20  # 37 MB; 78 MB when the whole sample was unpacked at once
