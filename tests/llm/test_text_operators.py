@@ -475,3 +475,29 @@ def test_toxicity_keeps_the_unpacked_sample_small(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 56 << 20  # 37 MB; 78 MB when the whole sample was unpacked at once
+
+
+def test_staged_windows_go_before_the_next_table_is_made(documents, monkeypatch):
+    """No step of the passages holds the tables of the steps before the last one."""
+    held, beside = {}, {}
+    stage, discard = windows.stage, windows.discard
+
+    def staged(df, name):
+        beside[name] = set(held.values())
+        out, path = stage(df, name)
+        held[path] = name
+        return out, path
+
+    def dropped(spark, *paths):
+        for path in paths:
+            held.pop(path, None)
+        discard(spark, *paths)
+
+    monkeypatch.setattr(windows, "stage", staged)
+    monkeypatch.setattr(windows, "discard", dropped)
+    line = " ".join(f"w{i}" for i in range(80))
+    windows.repeated_passages(documents((1, line), (2, line + " end"), (3, "start " + line))).count()
+    assert "digests" not in beside["runs"]
+    assert not {"runs", "windows"} & beside["promising"]
+    assert not {"labels", "windows"} & beside["pairs"]
+    assert set(held.values()) == {"passages"}
