@@ -45,8 +45,8 @@ TABLE_BITS = 1 << 26
 # Side of a tile; a tile is counted densely from this many pairs on.
 EDGE = 1 << 10
 DENSE = EDGE * EDGE // 16
-# Pairs that a task holds before it counts them.
-HELD = 1 << 22
+# Pairs that a task holds before it counts them; counting takes several times their memory.
+HELD = 1 << 20
 # Bytes hashed at once, and the length from which a word is hashed on its own.
 BLOCK = 1 << 20
 LONG_WORD = 512

@@ -5,6 +5,7 @@ import math
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -239,3 +240,20 @@ def test_long_words_of_two_letters_differ():
     n = len(a)
     got = collocations.hash_words(SpanHasher(), data, np.array([0, n + 1]), np.array([n, 2 * n + 1]))
     assert got[0] != got[1]
+
+
+def test_counting_held_pairs_needs_little_memory():
+    """A task holds ``HELD`` pairs and counts them; six such tasks share an executor with the JVM."""
+    rng = np.random.default_rng(0)
+    known = np.sort(rng.integers(1, 1 << 62, collocations.RANKS).astype(np.uint64))
+    places = np.arange(len(known))
+    level = collocations.Level(np.zeros(1, np.uint64), known, np.zeros_like(places), places, known, np.zeros(1, np.int64))
+    unit, word = (rng.choice(known, collocations.HELD) for _ in range(2))
+    tracemalloc.start()
+    try:
+        counted = collocations.count_pairs(unit, word, level, level)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(counted.column("f").to_pylist()) == collocations.HELD
+    assert peak < 200 << 20
