@@ -46,8 +46,10 @@ TABLE_BITS = 1 << 26
 EDGE = 1 << 10
 DENSE = EDGE * EDGE // 16
 # Pairs that a task holds before it counts them; counting takes several times their memory.
-HELD = 1 << 20
-# Bytes hashed at once, and the length from which a word is hashed on its own.
+HELD = 1 << 19
+# Rows of a counted batch that leave a task at once.
+SENT = 1 << 16
+# Bytes split and hashed at once, and the length from which a word is hashed on its own.
 BLOCK = 1 << 20
 LONG_WORD = 512
 # Decimals wide enough for counts and for products of two of them and 1000.
@@ -118,7 +120,7 @@ def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, lis
         langs = batch.column(0).to_pylist()
         salt = salts(langs)
         data, offsets = binary_column(batch.column(1))
-        for ids, part, cut in chunks(np.arange(batch.num_rows), data, offsets, 4 * BLOCK):
+        for ids, part, cut in chunks(np.arange(batch.num_rows), data, offsets, BLOCK):
             yield split_words(hasher, part, cut, salt[ids]), [langs[i] for i in ids]
 
 
@@ -253,6 +255,11 @@ def count_pairs(unit: np.ndarray, word: np.ndarray, units: Level, words: Level)
 def count_extensions(docs: DataFrame, k: int, units: Level, words: Level, least: int) -> DataFrame:
     """(unit, word, f) of the frequent phrases of k + 1 words, given the levels k and 1."""
 
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        batch = count_pairs(*(np.concatenate(c) for c in zip(*held)), units, words)
+        for first in range(0, batch.num_rows, SENT):
+            yield batch.slice(first, SENT)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -269,10 +276,10 @@ def count_extensions(docs: DataFrame, k: int, units: Level, words: Level, least:
             held.append((unit[:m][good], found.unit[k:][good]))
             size += len(held[-1][0])
             if size >= HELD:
-                yield count_pairs(*(np.concatenate(c) for c in zip(*held)), units, words)
+                yield from counted(held)
                 held, size = [], 0
         if size:
-            yield count_pairs(*(np.concatenate(c) for c in zip(*held)), units, words)
+            yield from counted(held)
 
     pairs = docs.mapInArrow(task, "unit long, word long, f long")
     return pairs.groupBy("unit", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
