@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, binary_column, by_key, joined, partitions, run_starts, stage
+from .common import SpanHasher, binary_column, by_key, joined, mix, partitions, run_starts, stage
 
 LENGTH = 50
 GRAM = 16
-PIECE = 1 << 20  # window starts looked at together
-FLUSH = 1_000_000  # runs a task gathers before it deals them
+PIECE = 1 << 19  # window starts looked at together
+PART = 1 << 18  # runs of a fragment that are sorted and judged together
+STRIP = 1 << 18  # bytes of texts whose windows are hashed together
+FLUSH = 500_000  # runs a task gathers before it deals them
 FEW = 6  # suffixes that are dealt to their buckets one by one
 SMALL = 64  # below this alphabet or text size induced sorting has no gain over doubling
 
@@ -375,6 +377,17 @@ def run_task(fragments: int, length: int, gram: int) -> Callable:
 
 def several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether more than one document has a row's key."""
+    parts = -(-len(key) // PIECE)
+    if parts > 1:  # keys fall into parts that are sorted one after the other
+        out, of = np.zeros(len(key), bool), (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.uint16)
+        for i in range(parts):
+            at = np.flatnonzero(of == i)
+            out[at] = several_of(key[at], doc[at])
+        return out
+    return several_of(key, doc)
+
+
+def several_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     order = np.argsort(key, kind="stable")
     begin = run_starts(key[order])
     out = np.zeros(len(key), bool)
@@ -387,6 +400,24 @@ def several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def fragment_task(fragments: int, blocks: int, length: int) -> Callable:
     """One fragment of anchors: spans that go whole (group -1) and texts to be sorted."""
 
+    def judged(anchor: np.ndarray, body: np.ndarray, doc: np.ndarray, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs sorted by anchor, body and document: which go whole, and which are texts to compare."""
+        n = len(anchor)
+        group, text = run_starts(anchor), run_starts(anchor, body)
+        group_size, text_size = np.diff(np.r_[group, n]), np.diff(np.r_[text, n])
+        lowest_doc = np.repeat(np.minimum.reduceat(doc, group), group_size)
+        own_low = np.repeat(doc[text], text_size)  # sorted by document inside a text
+        whole = doc > own_low
+        texts_in_group = np.repeat(np.diff(np.searchsorted(text, np.r_[group, n])), group_size)
+        highest = np.repeat(np.maximum.reduceat(own_low, group), group_size)
+        # Texts are compared where a group has several whose smallest documents differ and
+        # that agree next to the anchor.
+        compared = ~whole & (texts_in_group > 1) & (highest > lowest_doc)
+        spot = np.flatnonzero(compared)
+        number = np.repeat(np.arange(len(group), dtype=np.uint64) << np.uint64(16), group_size)[spot]
+        compared[spot] = np.any([(c[spot] > 0) & several(number | c[spot], doc[spot]) for c in near], axis=0)
+        return np.flatnonzero(whole), np.flatnonzero(compared)
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         fragment = key[0].as_py()
         anchor = joined(table.column("keys"), np.uint32)
@@ -400,36 +431,28 @@ def fragment_task(fragments: int, blocks: int, length: int) -> Callable:
         a = anchor[order]
         new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.empty(0, bool)
         order = order[~(new & np.r_[new[1:], True])] if len(a) else order
-        order = order[np.lexsort((start[order], doc[order], body[order], anchor[order]))]
-        anchor, body, start, size, doc = anchor[order], body[order], start[order], size[order], doc[order]
-        group, text = run_starts(anchor), run_starts(anchor, body)
+        del a, new
+        # Some anchors after the other, each with all its runs.
+        group = run_starts(anchor[order])
+        cut = np.unique(group[np.searchsorted(group, np.arange(PART, group[-1] + 1, PART))]) if len(group) else group
+        chosen: tuple[list[np.ndarray], list[np.ndarray]] = ([order[:0]], [order[:0]])
+        for at in np.split(order, cut) if len(order) else []:
+            at = at[np.lexsort((start[at], doc[at], body[at], anchor[at]))]
+            for kept, on in zip(chosen, judged(anchor[at], body[at], doc[at], [left[at], right[at]]), strict=True):
+                kept.append(at[on])
         out: list[tuple] = []
-        if len(anchor):
-            n = len(anchor)
-            group_size, text_size = np.diff(np.r_[group, n]), np.diff(np.r_[text, n])
-            lowest_doc = np.repeat(np.minimum.reduceat(doc, group), group_size)
-            own_low = np.repeat(doc[text], text_size)  # sorted by document inside a text
-            whole = doc > own_low
-            texts_in_group = np.repeat(np.diff(np.searchsorted(text, np.r_[group, n])), group_size)
-            highest = np.repeat(np.maximum.reduceat(own_low, group), group_size)
-            # Texts are compared where a group has several whose smallest documents differ and
-            # that agree next to the anchor.
-            compared = ~whole & (texts_in_group > 1) & (highest > lowest_doc)
-            spot = np.flatnonzero(compared)
-            number = np.repeat(np.arange(len(group), dtype=np.uint64) << np.uint64(16), group_size)[spot]
-            near = [c[order][spot] for c in (left, right)]
-            compared[spot] = np.any([(c > 0) & several(number | c, doc[spot]) for c in near], axis=0)
-            block = doc % blocks
-            for chosen, kind in ((np.flatnonzero(whole), -1), (np.flatnonzero(compared), fragment)):
-                by = chosen[np.argsort(block[chosen], kind="stable")]
-                cut = np.r_[run_starts(block[by]), len(by)]
-                for x, y in zip(cut[:-1], cut[1:], strict=True):
-                    at = by[x:y]
-                    out.append((
-                        int(block[at[0]]), kind, doc[at].tobytes(), start[at].tobytes(),
-                        (start[at] + size[at] + np.uint32(length)).astype(np.uint32).tobytes(),
-                        anchor[at].tobytes() if kind >= 0 else b"",
-                    ))
+        for parts, kind in zip(chosen, (-1, fragment), strict=True):
+            by = np.concatenate(parts)
+            by = by[np.argsort(doc[by] % blocks, kind="stable")]
+            block = doc[by] % blocks
+            edge = np.r_[run_starts(block), len(by)]
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                at = by[x:y]
+                out.append((
+                    int(block[x]), kind, doc[at].tobytes(), start[at].tobytes(),
+                    (start[at] + size[at] + np.uint32(length)).astype(np.uint32).tobytes(),
+                    anchor[at].tobytes() if kind >= 0 else b"",
+                ))
         return pa.Table.from_batches([batch_of(out, SPANS)])
 
     return run
@@ -469,43 +492,88 @@ def fetch_task(fragments: int) -> Callable:
     return run
 
 
+def window_hashes(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each window, text by text; where each text's windows start, and the end)."""
+    cut = np.r_[0, np.cumsum(np.maximum(np.diff(offsets) - length + 1, 0))]
+    hashes, hasher, first = np.empty(cut[-1], np.uint64), SpanHasher(), 0
+    while first < len(cut) - 1:  # texts of about ``STRIP`` bytes at once
+        last = max(int(np.searchsorted(offsets, offsets[first] + STRIP, side="right")) - 1, first + 1)
+        windows = np.diff(cut[first : last + 1])
+        start = np.arange(cut[last] - cut[first]) + np.repeat(offsets[first:last] - offsets[first] - cut[first:last] + cut[first], windows)
+        prefix = hasher.prefix(raw[offsets[first] : offsets[last]])
+        hashes[cut[first] : cut[last]] = hasher.spans(prefix, start, start + length)
+        first = last
+    return hashes, cut
+
+
 def may_repeat(raw: np.ndarray, offsets: np.ndarray, document: np.ndarray, length: int) -> np.ndarray:
     """Texts with a window whose hash occurs in another document, too."""
-    windows = np.maximum(np.diff(offsets) - length + 1, 0)
-    owner = np.repeat(np.arange(len(windows)), windows)
-    out = np.zeros(len(windows), bool)
-    if len(owner):
-        start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[owner]
-        hasher = SpanHasher()
-        hashes = hasher.spans(hasher.prefix(raw), start, start + length)
-        out[owner[several(hashes, document[owner])]] = True
-    return out
+    hashes, cut = window_hashes(raw, offsets, length)
+    hit = np.r_[0, np.cumsum(several(hashes, np.repeat(document, np.diff(cut))))]
+    return hit[cut[1:]] > hit[cut[:-1]]
+
+
+def repeated_parts(raw: np.ndarray, offsets: np.ndarray, document: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, hash of the first, hash of the last) of the maximal runs
+    of windows whose hash occurs in another document, too."""
+    hashes, cut = window_hashes(raw, offsets, length)
+    hit = several(hashes, np.repeat(document, np.diff(cut)))
+    new, ends = hit.copy(), hit.copy()
+    new[1:] &= ~hit[:-1]
+    ends[:-1] &= ~hit[1:]
+    edge = cut[1:-1][(cut[1:-1] > 0) & (cut[1:-1] < len(hit))]
+    new[edge], ends[edge - 1] = hit[edge], hit[edge - 1]
+    begin, end = np.flatnonzero(new), np.flatnonzero(ends)
+    text = np.searchsorted(cut, begin, side="right") - 1
+    return text, begin - cut[text], end - cut[text], hashes[begin], hashes[end]
+
+
+def taken(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans of ``raw``, one after the other."""
+    return raw[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
 
 def shard_task(blocks: int, length: int, gram: int) -> Callable:
+    """One shard of texts: the windows that a document with a smaller id holds, too.
+
+    Of a text only the parts count whose windows may repeat. Parts of the same bytes are one:
+    they go whole from all documents but the smallest, whose part is sorted with the others. A text
+    has fewer windows than a window has bytes, so its first and last one hold all of it.
+    """
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         doc = joined(table.column("docs"), np.int64)
         start, size = joined(table.column("starts"), np.int64), joined(table.column("sizes"), np.int64)
         raw, _ = binary_column(table.column("bytes"))
-        chosen = may_repeat(raw, np.r_[0, np.cumsum(size)], doc, length)
-        raw = raw[np.repeat(chosen, size)]
-        doc, start, size = doc[chosen], start[chosen], size[chosen]
         offsets = np.r_[0, np.cumsum(size)]
-        text, window = covered_windows(raw, offsets, doc, length)
-        out = []
-        if len(text):
-            order = np.lexsort((window, text))
-            text, window = text[order], window[order]
-            first = np.r_[True, (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1)]
-            last = np.r_[first[1:], True]
-            owner = text[first]
-            who, a, b = doc[owner], start[owner] + window[first], start[owner] + window[last] + length
-            block = who % blocks
-            by = np.argsort(block, kind="stable")
-            cut = np.r_[run_starts(block[by]), len(by)]
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                at = by[x:y]
-                out.append((int(block[at[0]]), -1, who[at].tobytes(), a[at].astype(np.uint32).tobytes(), b[at].astype(np.uint32).tobytes(), b""))
+        text, first, last, *ends = repeated_parts(raw, offsets, doc, length)
+        who, count = doc[text], last - first + length
+        order = np.lexsort((who, count, *ends))
+        text, first, who, count = (c[order] for c in (text, first, who, count))
+        own = run_starts(count, *(c[order] for c in ends))
+        members = np.diff(np.r_[own, len(order)])
+        whole = who > np.repeat(who[own], members)
+        # The smallest document may hold a part several times: it is sorted once.
+        least = np.add.reduceat((~whole).astype(np.int64), own) if len(own) else own
+        place, n = offsets[text[own]] + first[own], count[own]
+        chosen = np.flatnonzero(may_repeat(taken(raw, place, n), np.r_[0, np.cumsum(n)], who[own], length))
+        place, n = place[chosen], n[chosen]
+        part, window = covered_windows(taken(raw, place, n), np.r_[0, np.cumsum(n)], who[own[chosen]], length)
+        order = np.lexsort((window, part))
+        part, window = part[order], window[order]
+        fresh = np.ones(len(part), bool)
+        fresh[1:] = (part[1:] != part[:-1]) | (window[1:] != window[:-1] + 1)
+        until = window[np.r_[fresh[1:], True][: len(part)]] + length
+        part, window = chosen[part[fresh]], window[fresh]
+        copies = least[part]
+        at = np.repeat(own[part] - np.cumsum(copies) + copies, copies) + np.arange(int(copies.sum()))
+        at, low, high = (np.r_[a, b] for a, b in zip(
+            (np.flatnonzero(whole), np.zeros(int(whole.sum()), np.int64), count[whole]),
+            (at, np.repeat(window, copies), np.repeat(until, copies)), strict=True))
+        who, base = who[at], start[text[at]] + first[at]
+        order, found, cut = by_key(who % blocks)
+        out = [(int(f), -1, who[i].tobytes(), (base + low)[i].astype(np.uint32).tobytes(), (base + high)[i].astype(np.uint32).tobytes(), b"")
+               for f, i in zip(found, np.split(order, cut[1:-1]), strict=False)]
         return pa.Table.from_batches([batch_of(out, SPANS)])
 
     return run
